@@ -25,17 +25,42 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.kept: list[DataFrame] = []
         atexit.register(self.close)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes df and reads it back: lineage ends at files that outlive any executor."""
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        # rows that go through Python may hold long texts or sets: few at a time
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "1000")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path  # type: ignore[attr-defined]
         return out
 
+    def cut(self, df: DataFrame) -> DataFrame:
+        """A checkpoint in the shared folder: for small results of iterations, with fewer files than table()."""
+        if self.spark.sparkContext.getCheckpointDir() is None:
+            self.spark.sparkContext.setCheckpointDir(shared_dir(self.spark))
+        return df.checkpoint()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Holds df on the executors until release(). What a lost executor held is computed again from written tables."""
+        df = df.persist()
+        self.kept.append(df)
+        return df
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+        self.kept = []
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _delete(self.spark, t._scratch)  # type: ignore[attr-defined]

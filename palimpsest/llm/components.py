@@ -29,12 +29,10 @@ def _small(e: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (a, b) -> node, component (the least node); nodes without edges to others are absent."""
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, mark = scratch.table(e), None
+    e, mark = scratch.cut(e), None
     while True:
         n = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (n["n"], n["s"]) == mark or not n["n"]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = (n["n"], n["s"])
-        new = scratch.table(_small(_large(e)))
-        scratch.drop(e)
-        e = new
+        e = scratch.cut(_small(_large(e)))

@@ -120,7 +120,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WOR
 
 def _search(sent):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes, names = pickle.loads(sent.value), worker_cache("decontamination words", WordHashes), [x.split()[0] for x in SCHEMA.split(", ")]
+        index, hashes, names = pickle.loads(sent.value), worker_cache("words", WordHashes), [x.split()[0] for x in SCHEMA.split(", ")]
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):

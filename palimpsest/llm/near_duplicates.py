@@ -150,36 +150,37 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     every = scratch.table(sets(docs, full=False))
     some = every.filter(F.col("n_shingles") > 0)
-    classes = scratch.table(some.groupBy("cid").agg(F.min("doc_id").alias("doc"), F.min("rk").alias("rk")))
+    classes = scratch.keep(some.groupBy("cid").agg(F.min("doc_id").alias("doc"), F.min("rk").alias("rk")))
     # one row of each class enters the buckets, however many copies there are
     seats = scratch.table(some.join(classes.select("cid", "rk"), ["cid", "rk"], "left_semi").select("cid", F.explode("bands").alias("key")))
     buckets = seats.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("hub") != F.col("last")).drop("last")
-    members = scratch.table(seats.join(buckets, "key"))
-    scratch.drop(seats)
-    pairs = scratch.table(members.filter(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct())
+    members = scratch.keep(seats.join(buckets, "key"))
+    pairs = scratch.keep(members.filter(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(classes, "cid").select("cid", "rk")
-    wanted = scratch.table(wanted)
+    wanted = scratch.keep(wanted)
     texts = docs.select("doc_id", "text", row_key().alias("__rk")).join(wanted.select(F.col("rk").alias("__rk")).distinct().hint("shuffle_hash"), "__rk", "left_semi")
     full = sets(texts, full=True).join(wanted.select("cid", "rk"), ["cid", "rk"], "left_semi")
     full = scratch.table(full.dropDuplicates(["cid"]).select("cid", "bands", "sig", "items"))
     side = lambda c, n: full.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{n}"), F.col("items").alias(f"items_{n}"))
     both = pairs.join(side("a", 0), "a").join(side("b", 1), "b").select("a", "b", "sig_0", "sig_1", "items_0", "items_1")
-    links = scratch.table(both.mapInArrow(_confirm(percent), "a binary, b binary"))
+    links = scratch.cut(both.mapInArrow(_confirm(percent), "a binary, b binary"))
     label = connected_components(links, scratch)
     # buckets that still hold several components; their pairs with the hub are settled
     at = members.filter(F.col("n") > 2).join(label.select(F.col("node").alias("cid"), F.col("component").alias("label")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     open_ = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1")).select("key")
     rest = at.join(open_, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = rest.select("key", "cid", "hub", "label", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))).alias("p"))
-    dealt = scratch.table(dealt.select("key", "cid", "hub", "label", "block", "p.lo", "p.hi"))
+    dealt = scratch.keep(dealt.select("key", "cid", "hub", "label", "block", "p.lo", "p.hi"))
     # pairs of blocks in which all rows share one label have nothing left to join
     live = dealt.groupBy("key", "lo", "hi").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1")).select("key", "lo", "hi")
     work = dealt.join(live, ["key", "lo", "hi"], "left_semi").join(full, "cid")
-    more = scratch.table(work.groupBy("key", "lo", "hi").applyInArrow(_compare(percent), "a binary, b binary"))
+    more = scratch.cut(work.groupBy("key", "lo", "hi").applyInArrow(_compare(percent), "a binary, b binary"))
     label = connected_components(more.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     named = classes.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     final = scratch.table(named.join(least, "component").select("cid", "component_id"))
+    scratch.release()
+    scratch.drop(seats, full)
     out = every.select("doc_id", "rk", "n_shingles", "cid").join(final, "cid", "left")
     return out.select("doc_id", "rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -174,18 +174,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, room: int = ROOM, fan_in:
     schema = lambda df: ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", bin long, at long, fill long"
     local = scratch.table(pieces.mapInArrow(_pack_rows([], "length", capacity), schema(pieces)))
     # residual bins as items: item (a bin of an earlier round), fill; root and shift follow them from round to round
-    left = scratch.table(local.filter(F.col("fill") <= capacity - room).groupBy("bin").agg(F.first("fill").alias("size")).withColumnRenamed("bin", "item").withColumn("first", F.col("item")).withColumn("shift", F.lit(0).cast("long")))
+    left = scratch.cut(local.filter(F.col("fill") <= capacity - room).groupBy("bin").agg(F.first("fill").alias("size")).withColumnRenamed("bin", "item").withColumn("first", F.col("item")).withColumn("shift", F.lit(0).cast("long")))
     n, done, round_ = left.groupBy("item").count().count(), [], 0
     groups = max(1, left.rdd.getNumPartitions(), -(-n // GROUP)) if n else 0
     while n:
         groups = max(-(-groups // fan_in), -(-n // GROUP))
         # one row an item is packed; the bins of the first round that it holds follow by a join
         items = left.select("item", "size").distinct().repartition(groups, F.xxhash64("item", F.lit(round_)))
-        packed = scratch.table(items.mapInArrow(_pack_rows([], "size", capacity), "item long, size long, bin long, at long, fill long"))
+        packed = scratch.cut(items.mapInArrow(_pack_rows([], "size", capacity), "item long, size long, bin long, at long, fill long"))
         moved = left.drop("size").join(packed, "item").select("first", (F.col("shift") + F.col("at")).alias("shift"), F.col("item"), "bin", F.col("fill"))
         # a bin's name must not clash with those of other rounds: it takes the least name of what it holds
         name = packed.groupBy("bin").agg(F.min("item").alias("name"))
-        moved = scratch.table(moved.join(name, "bin").select("first", "shift", F.col("name").alias("item"), F.col("fill").alias("size")))
+        moved = scratch.cut(moved.join(name, "bin").select("first", "shift", F.col("name").alias("item"), F.col("fill").alias("size")))
         last = groups == 1 and round_ > 0 or groups == 1
         full = moved if last else moved.filter(F.col("size") > capacity - room)
         done.append(full)

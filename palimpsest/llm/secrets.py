@@ -108,19 +108,20 @@ def summarise(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     return got.select("blob", *[n(r.kind).alias(f"n_{r.kind}") for r in BASE], F.sha2(say(base), 256).alias("base_sha256"), say(F.col("s")).alias("spans"), F.transform("s", lambda x: F.struct(x["start"], x["stop"])).alias("at"))
 
 
-def find(docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(summaries by blob of old and new findings, all findings, the new ledger), each written to the shared folder."""
-    scratch = Scratch(docs.sparkSession)
+def find(scratch: Scratch, docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summaries by blob of old and new findings, all findings, the new ledger); the caller releases scratch when done with them."""
     ledger = empty_ledger(docs.sparkSession) if ledger is None else ledger
     todo = scratch.table(unseen(docs, ledger, rules))
     fresh = scan(docs, todo, rules)
-    findings = scratch.table(fresh if known is None else fresh.unionByName(known))
+    findings = scratch.keep(fresh if known is None else fresh.unionByName(known))
     return scratch.table(summarise(findings, rules)), findings, advance(ledger, todo)
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row."""
-    found, _, _ = find(docs)
+    scratch = Scratch(docs.sparkSession)
+    found, _, _ = find(scratch, docs)
+    scratch.release()
     rows = join_sized(docs.select("doc_id", blob_of().alias("blob")), found.drop("at"), ["blob"], "left")
     count = [F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in BASE]
     return rows.select("doc_id", *count, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
@@ -128,7 +129,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every found span replaced by `mark`, and n_chars to fit. Overlapping spans become one mark."""
-    found, _, _ = find(docs)
+    scratch = Scratch(docs.sparkSession)
+    found, _, _ = find(scratch, docs)
+    scratch.release()
     rows = join_sized(docs.withColumn("__blob", blob_of()), found.select(F.col("blob").alias("__blob"), F.col("at").alias("__at")), ["__blob"], "left")
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["start"] >= a["pos"], F.struct(s["stop"].alias("pos"), F.concat(a["out"], F.substring("text", a["pos"].cast("int") + 1, (s["start"] - a["pos"]).cast("int")), F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(a["pos"], s["stop"]).alias("pos"), a["out"].alias("out")))

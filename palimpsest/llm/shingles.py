@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Distinct words a worker remembers the hashes of; about 0.15 GB.
-WORDS = 1_000_000
+#: Distinct words a worker remembers the hashes of; about 0.05 GB.
+WORDS = 300_000
 WIDTH = 5
 _rng = np.random.default_rng(20)
 #: Odd multipliers: one for each place in a shingle.
