@@ -100,11 +100,12 @@ def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str, max_ro
 
 
 def worker_cache(name: str, make):
-    """What make() gives, kept for as long as this Python worker lives, over all of its tasks."""
+    """What make() gives, kept over all tasks of this Python worker until another name is asked for: one cache at a time."""
     import sys
     import types
 
-    store = sys.modules.setdefault("_palimpsest_worker", types.ModuleType("_palimpsest_worker")).__dict__
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    store = sys.modules.setdefault("_palimpsest_worker", types.ModuleType("_palimpsest_worker"))
+    if getattr(store, "name", None) != name:
+        store.value, store.name = None, name
+        store.value = make()
+    return store.value

@@ -10,11 +10,13 @@ is cut whole. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,20 @@ CAPACITY = 2048
 ROOM = 8
 #: Pieces that one task packs at a time, and residual bins of one group.
 GROUP = 200_000
-#: Pieces whose ids a Python worker remembers, twice; about 0.2 GB.
+#: Pieces whose ids a Python worker remembers; about 0.1 GB.
 CACHE = 500_000
-_PLAIN = ".,;:!?*$%&#|()"
-_SPACE = b" \t\n\r\x0b\x0c"
+#: Latin letters with one lower case each, and plain punctuation after them.
+_FORM = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?*$%&#|()]*)$"
+
+_WORD = re.compile("[a-zß-öø-ÿ]+")
+#: The characters that stand for bytes without a printable one: those from 256 on, in order.
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes. Text is cut at ASCII white space, which this
-    tokenizer drops before anything else, and the ids of each piece between are remembered."""
+    """Token ids of texts. A text is cut at ASCII white space, which this tokenizer drops before anything
+    else, and Latin letters are cut from the plain punctuation after them, as it does, too. Arrow finds the
+    distinct pieces of a batch; the tokenizer sees each once, and their ids are laid out by index."""
 
     def __init__(self, path: str):
         import os
@@ -43,58 +50,66 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.core: dict[str, bytes] = {}
         self.mark = self._encode("~")
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        pieces = [_cut(t) for t in texts]
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other (32 bits), and where each text's begin and end."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        two = pc.extract_regex(words.dictionary, _FORM)
+        plain = two.is_valid()
+        head = pc.if_else(plain, pc.utf8_lower(two.field(0)), words.dictionary).dictionary_encode()
+        tail = pc.if_else(plain, two.field(1), "").dictionary_encode()
+        raw = self._learned(head.dictionary.to_pylist() + tail.dictionary.to_pylist())
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        all_, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        pair = np.stack([head.indices.to_numpy()[at], tail.indices.to_numpy()[at] + len(head.dictionary)], 1).ravel()
+        n = size[pair]
+        stop = np.cumsum(n)
+        place = np.repeat(start[pair] - (stop - n), n)
+        place += np.arange(len(place))
+        return all_[place], np.concatenate(([0], stop))[2 * ends]
+
+    def _learned(self, pieces: list[str]) -> list[bytes]:
         known = self.known
-        fresh = {p for x in pieces for p in x if p not in known}
+        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
         if len(known) + len(fresh) > CACHE:
-            self.known = known = {p: known[p] for x in pieces for p in x if p in known}
-        # letters and the plain punctuation after them are cut apart by the tokenizer, too, and many pieces share them
-        parts = {p: _tail(p) for p in fresh}
-        self._learn({x for two in parts.values() for x in two if x})
-        core = self.core
-        for p, (word, tail) in parts.items():
-            known[p] = core[word] + core[tail] if tail else core[word]
-        get = known.__getitem__
-        return [b"".join(map(get, x)) for x in pieces]
-
-    def _learn(self, parts: set[str]) -> None:
-        fresh = [p for p in parts if p not in self.core]
-        if len(self.core) + len(fresh) > CACHE:
-            self.core = {p: self.core[p] for p in parts if p in self.core}
-        for p in [p for p in fresh if "~" in p]:
-            self.core[p] = self._encode(p).tobytes()
-        fresh = [p for p in fresh if "~" not in p]
+            self.known = known = {p: known[p] for p in pieces if p in known}
+        model, word = self.tokenizer.model.tokenize, _WORD.fullmatch
+        rest = []
+        for p in fresh:
+            if word(p):
+                # of these, only the merges are left to do; the tokenizer writes bytes as characters first
+                q = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)
+                known[p] = np.array([t.id for t in model(q)], "<u4").tobytes()
+            elif "~" in p:
+                known[p] = self._encode(p).tobytes()
+            else:
+                rest.append(p)
+        fresh = rest
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             # one call for many pieces: the mark between them is a piece of its own, whose id no other piece here has
             ids = self._encode(" ~ ".join(part))
             cut = (np.flatnonzero(ids == self.mark[0]) * 4).tolist()
             raw = ids.tobytes()
-            self.core.update(zip(part, [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)])]))
+            known.update(zip(part, [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)])]))
+        return [known[p] for p in pieces]
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
-def _tail(piece: str) -> tuple[str, str]:
-    """(lower-cased letters, punctuation after them), or (piece, '') where it isn't of that form."""
-    word = piece.rstrip(_PLAIN)
-    low = word.lower()
-    # a few capitals become a letter and a mark; sigma's lower case depends on its place in some libraries
-    if word.isalpha() and low.isalpha() and "\u03a3" not in word:
-        return low, piece[len(word) :]
-    return piece, ""
-
-
-def _cut(text: str) -> list[str]:
-    # str.split() also cuts at the four separators below, which this tokenizer keeps
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [x for x in text.translate({c: " " for c in _SPACE}).split(" ") if x]
-    return text.split()
+def slices(b: pa.RecordBatch, text: int, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `limit` bytes of text, and at least one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy())
+    at = 0
+    while at < b.num_rows:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
+        yield b.slice(at, stop - at)
+        at = stop
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -104,11 +119,11 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(f"tokenizer {tokenizer}", lambda: Encoder(tokenizer))
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, 1):
                 out: list[tuple] = []
-                for doc, ids in zip(b.column(0).to_pylist(), encoder.ids([t or "" for t in b.column(1).to_pylist()])):
-                    ids += b"\0\0\0\0"
+                flat, ends = encoder.ids(b.column(1).cast(pa.string()))
+                for doc, first, last in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                    ids = flat[first:last].tobytes() + b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
                         out.append((doc, k, start // 4, len(part) // 4, zlib.crc32(part), part))
