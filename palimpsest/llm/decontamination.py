@@ -94,6 +94,8 @@ class Index:
             if not len(good):
                 continue
             start, stop = int(good[0]), int(good[-1]) + size
+            same = start + np.flatnonzero(np.diff(equal[start : stop + 1]))  # begins and ends with equal words
+            start, stop = int(same[0]), int(same[-1]) + 1
             found = (lo + start, stop - start, int(equal[stop] - equal[start]))
             if name not in best or (found[2], -found[0]) > (best[name][2], -best[name][0]):
                 best[name] = found

@@ -2,7 +2,8 @@
 
 Documents become token ids, each ended by id 0, and are cut only where longer than a sequence. Every task
 packs its own pieces by best fit, longest first; bins that are nearly full are done, and the others travel
-on as items of their fill, to fewer and fewer groups that pack them again, until one group is left.
+on as items of their fill, to fewer and fewer groups that pack them again, until one group is left or a
+round combines hardly any.
 
 Null texts count as empty: they have the one id 0. Repeated rows are packed each. A document of any length
 is cut whole. An empty table gives an empty result.
@@ -201,14 +202,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, room: int = ROOM, fan_in:
         # a bin's name must not clash with those of other rounds: it takes the least name of what it holds
         name = packed.groupBy("bin").agg(F.min("item").alias("name"))
         moved = scratch.cut(moved.join(name, "bin").select("first", "shift", F.col("name").alias("item"), F.col("fill").alias("size")))
-        last = groups == 1 and round_ > 0 or groups == 1
-        full = moved if last else moved.filter(F.col("size") > capacity - room)
-        done.append(full)
-        if last:
+        rest = moved.filter(F.col("size") <= capacity - room)
+        before, n = n, rest.select("item").distinct().count()
+        # one group has seen all that is left; and bins that hardly combine any more are done as well
+        if groups == 1 or n > 0.98 * before:
+            done.append(moved)
             break
-        left = moved.filter(F.col("size") <= capacity - room)
-        n = left.select("item").distinct().count()
-        round_ += 1
+        done.append(moved.filter(F.col("size") > capacity - room))
+        left, round_ = rest, round_ + 1
     if not done:
         return local.withColumnRenamed("bin", "sequence_id").withColumnRenamed("at", "offset").drop("fill")
     where = done[0]

@@ -5,7 +5,7 @@ the one term ''), weighted by how often they occur. Each term's 128-bit hash vot
 where its bit is 1, -weight where it is 0; the sign of the sum is the fingerprint's bit (a tie is 0).
 
 Votes are counted in whole-stage code: a 64-bit hash is cut into 16 longs of four 16-bit counters, so
-that one sum adds four bits at once, and terms are grouped in runs of 65,535 so no counter overflows.
+that one sum adds four bits at once, and terms are grouped in runs of 32,767 so no counter overflows.
 
 Null texts count as empty. Equal texts have equal fingerprints, whatever their id. Repeated rows give
 repeated results. An empty table gives an empty result. Null ids come last in descending order.
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 BITS = 128
 LANE = 0x0001000100010001
-RUN = 65_535
+#: Terms whose votes are counted together: the topmost counter stays below the sign bit.
+RUN = 32_767
 
 
 def terms(text: Column) -> Column:
