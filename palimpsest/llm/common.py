@@ -20,26 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows that go through Python hold whole texts or sets: the session sends at most 1,000 at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 class Scratch:
     """Parquet tables written to the shared folder. drop() deletes what a job no longer needs; the rest goes at exit."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
         self.kept: list[DataFrame] = []
+        small_batches(spark)
         atexit.register(self.close)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes df and reads it back: lineage ends at files that outlive any executor."""
         path = f"{self.base}/{self.n}"
         self.n += 1
-        # rows that go through Python may hold long texts or sets: few at a time
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, "1000")
-        try:
-            df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(key, before)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path  # type: ignore[attr-defined]
         return out
@@ -48,7 +49,8 @@ class Scratch:
         """A checkpoint in the shared folder: for small results of iterations, with fewer files than table()."""
         if self.spark.sparkContext.getCheckpointDir() is None:
             self.spark.sparkContext.setCheckpointDir(shared_dir(self.spark))
-        return df.checkpoint()
+        # no more files than the cluster has task slots: these results are small beside what made them
+        return df.coalesce(max(1, self.spark.sparkContext.defaultParallelism)).checkpoint()
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Holds df on the executors until release(). What a lost executor held is computed again from written tables."""

@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 from .shingles import PLACE, WordHashes, mixed
 
 WINDOW, SIMILARITY, SHORTEST = 13, 0.8, 5
@@ -105,6 +105,7 @@ class Index:
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, start_word, n_words, n_equal, similarity: the best overlap of each document and item that has one."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text") / 5).alias("n")).first()["n"] or 0
     blocks = max(1, int(-(-total // block_words)))

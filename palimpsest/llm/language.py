@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, small_batches
 
 BUCKETS = 1 << 15
 BLOCK = 32
@@ -115,6 +115,7 @@ def infer(text: str | None, names: list[str], logp: np.ndarray) -> tuple[str, fl
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score, mixture for each document."""
     names, logp = model
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

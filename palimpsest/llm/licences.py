@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 # The base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 # Openings and notices of public licences.
@@ -161,6 +163,7 @@ class Scanner:
 
 def scan_documents(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     scanner = Scanner(templates, phrases)
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,15 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, worker_cache
+from .common import Scratch, small_batches, worker_cache
 
 CAPACITY = 2048
 #: Bins with less room than this are emitted. Must be 1 or more.
 ROOM = 8
 #: Pieces that one task packs at a time, and residual bins of one group.
 GROUP = 200_000
-#: Pieces whose ids a Python worker remembers; about 0.1 GB.
-CACHE = 500_000
+#: Pieces whose ids a Python worker remembers; about 0.06 GB.
+CACHE = 300_000
 #: Latin letters with one lower case each, and plain punctuation after them.
 _FORM = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?*$%&#|()]*)$"
 
@@ -115,6 +115,7 @@ def slices(b: pa.RecordBatch, text: int, limit: int = 6 << 20) -> Iterator[pa.Re
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of each piece."""
+    small_batches(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

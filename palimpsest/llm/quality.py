@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc
+from .common import id_crc, small_batches
 
 STATS = (
     "log_bytes", "log_words", "word_bytes", "longest", "distinct", "top_word", "upper", "capital_words", "digit", "space", "newline",
@@ -62,6 +62,7 @@ def statistics(text: bytes) -> list[float]:
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a double column for each statistic, named with PREFIX; other columns pass through untouched."""
     names, at = docs.columns, docs.columns.index(text)
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
