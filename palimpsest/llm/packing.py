@@ -160,13 +160,16 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return bins, offsets
 
 
-def _pack_rows(keys: list[str], size: str, capacity: int):
-    """A mapInArrow function: adds bin (unique over tasks), at (offset) and fill (of the whole bin) to all columns."""
+def _packed(df: DataFrame, size: str, capacity: int) -> DataFrame:
+    """df plus bin (unique over partitions), at (offset) and fill (of the whole bin), packed partition by partition."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", bin long, at long, fill long"
+    # a task may run several partitions one after the other, so the partition's number comes with its rows
+    return df.withColumn("__partition", F.spark_partition_id()).mapInArrow(_pack_rows(size, capacity), schema)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 36
+def _pack_rows(size: str, capacity: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = -1
         held: list[pa.RecordBatch] = []
         for b in [*batches, None]:
             held += [b] if b is not None else []
@@ -174,6 +177,8 @@ def _pack_rows(keys: list[str], size: str, capacity: int):
             if not n or b is not None and n < GROUP:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
+            base = table["__partition"][0].as_py() << 36 if base < 0 else base
+            table = table.drop_columns(["__partition"])
             sizes = table[size].to_numpy()
             bins, offsets = best_fit(sizes, capacity)
             fill = np.bincount(bins, sizes).astype(np.int64)[bins]
@@ -188,8 +193,7 @@ def _pack_rows(keys: list[str], size: str, capacity: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, room: int = ROOM, fan_in: int = 8) -> DataFrame:
     """pieces (with `length`) plus sequence_id and offset."""
     scratch = Scratch(pieces.sparkSession)
-    schema = lambda df: ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", bin long, at long, fill long"
-    local = scratch.table(pieces.mapInArrow(_pack_rows([], "length", capacity), schema(pieces)))
+    local = scratch.table(_packed(pieces, "length", capacity))
     # residual bins as items: item (a bin of an earlier round), fill; root and shift follow them from round to round
     left = scratch.cut(local.filter(F.col("fill") <= capacity - room).groupBy("bin").agg(F.first("fill").alias("size")).withColumnRenamed("bin", "item").withColumn("first", F.col("item")).withColumn("shift", F.lit(0).cast("long")))
     n, done, round_ = left.groupBy("item").count().count(), [], 0
@@ -198,7 +202,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, room: int = ROOM, fan_in:
         groups = max(-(-groups // fan_in), -(-n // GROUP))
         # one row an item is packed; the bins of the first round that it holds follow by a join
         items = left.select("item", "size").distinct().repartition(groups, F.xxhash64("item", F.lit(round_)))
-        packed = scratch.cut(items.mapInArrow(_pack_rows([], "size", capacity), "item long, size long, bin long, at long, fill long"))
+        packed = scratch.cut(_packed(items, "size", capacity))
         moved = left.drop("size").join(packed, "item").select("first", (F.col("shift") + F.col("at")).alias("shift"), F.col("item"), "bin", F.col("fill"))
         # a bin's name must not clash with those of other rounds: it takes the least name of what it holds
         name = packed.groupBy("bin").agg(F.min("item").alias("name"))
