@@ -67,12 +67,10 @@ def unseen(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataF
 
 
 def scan(docs: DataFrame, todo: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, rule, kind, start, stop: findings of the pairs in todo, a written table.
+    """blob, rule, kind, start, stop: findings of the pairs in todo.
 
-    Where little is new, todo is broadcast and the other texts are left alone; else the texts cross the
-    network once, unsorted. Patterns run behind the join, on unseen pairs only."""
-    small = todo.count() <= 200_000
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), blob_of().alias("blob"), row_key().alias("rk")).join(F.broadcast(todo) if small else todo.hint("shuffle_hash"), ["blob", "rk"])
+    The texts cross the network once, unsorted, at every size. Patterns run behind the join, on unseen pairs only."""
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), blob_of().alias("blob"), row_key().alias("rk")).join(todo.hint("shuffle_hash"), ["blob", "rk"])
     on = lambda r, then: F.when(F.array_contains("rules", r.key), then)
     # one expression over both sides of the join: in parts, the optimizer would run the patterns before it
     some = F.array_compact(F.array(*[F.when(F.array_contains("rules", r.key) & F.col("text").rlike(r.pattern), F.lit(r.key)) for r in rules]))
