@@ -20,11 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: Rows, and bytes (but for one longer row), of a batch that goes to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Rows that go through Python hold whole texts or sets: the session sends at most 1,000 at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= 1000:
-        spark.conf.set(key, "1000")
+    """Rows that go through Python hold whole texts or sets: the session sends BATCH_ROWS and BATCH_BYTES at most at a time."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 class Scratch:
