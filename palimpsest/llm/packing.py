@@ -113,9 +113,22 @@ def slices(b: pa.RecordBatch, text: int, limit: int = 6 << 20) -> Iterator[pa.Re
         at = stop
 
 
+PIECE = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
+
+
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of each piece."""
     small_batches(docs.sparkSession)
+    schema = PIECE | ({"ids": "binary"} if with_ids else {})
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, with_ids), _ddl(schema))
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in columns.items())
+
+
+def _pieces(tokenizer: str, capacity: int, with_ids: bool = False):
+    """From batches of doc_id, text and any further columns: the pieces, with the further columns of their documents."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +136,19 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids
         for whole in batches:
             for b in slices(whole, 1):
                 out: list[tuple] = []
+                row: list[int] = []
                 flat, ends = encoder.ids(b.column(1).cast(pa.string()))
-                for doc, first, last in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                for i, (doc, first, last) in enumerate(zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist())):
                     ids = flat[first:last].tobytes() + b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
-                        out.append((doc, k, start // 4, len(part) // 4, zlib.crc32(part), part))
+                        out.append((doc, k, start // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+                        row.append(i)
                 cols = list(zip(*out)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [n for n, _ in fields])
+                carried = [c.take(pa.array(row, pa.int64())) for c in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, (_, t) in zip(cols, fields)), *carried], [*(n for n, _ in fields), *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return work
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +176,14 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return bins, offsets
 
 
+#: What packing a partition adds: bin (unique over partitions), at (offset) and fill (of the whole bin).
+PLACE = {"bin": "long", "at": "long", "fill": "long"}
+
+
 def _packed(df: DataFrame, size: str, capacity: int) -> DataFrame:
-    """df plus bin (unique over partitions), at (offset) and fill (of the whole bin), packed partition by partition."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", bin long, at long, fill long"
+    """df plus PLACE, packed partition by partition."""
     # a task may run several partitions one after the other, so the partition's number comes with its rows
-    return df.withColumn("__partition", F.spark_partition_id()).mapInArrow(_pack_rows(size, capacity), schema)
+    return df.withColumn("__partition", F.spark_partition_id()).mapInArrow(_pack_rows(size, capacity), _ddl(dict(df.dtypes) | PLACE))
 
 
 def _pack_rows(size: str, capacity: int):
@@ -192,8 +211,14 @@ def _pack_rows(size: str, capacity: int):
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, room: int = ROOM, fan_in: int = 8) -> DataFrame:
     """pieces (with `length`) plus sequence_id and offset."""
-    scratch = Scratch(pieces.sparkSession)
-    local = scratch.table(_packed(pieces, "length", capacity))
+    return _merge(_packed(pieces, "length", capacity), capacity, room, fan_in)
+
+
+def _merge(packed: DataFrame, capacity: int, room: int = ROOM, fan_in: int = 8) -> DataFrame:
+    """The rounds after the first: `packed` has PLACE, for which its other columns plus sequence_id and offset come."""
+    scratch = Scratch(packed.sparkSession)
+    columns = [c for c in packed.columns if c not in PLACE]
+    local = scratch.table(packed)
     # residual bins as items: item (a bin of an earlier round), fill; root and shift follow them from round to round
     left = scratch.cut(local.filter(F.col("fill") <= capacity - room).groupBy("bin").agg(F.first("fill").alias("size")).withColumnRenamed("bin", "item").withColumn("first", F.col("item")).withColumn("shift", F.lit(0).cast("long")))
     n, done, round_ = left.groupBy("item").count().count(), [], 0
@@ -222,9 +247,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, room: int = ROOM, fan_in:
         where = where.unionByName(d)
     where = where.select(F.col("first").alias("bin"), "shift", F.col("item").alias("__to"))
     out = local.join(where, "bin", "left")
-    return out.select(*pieces.columns, F.coalesce("__to", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    return out.select(*columns, F.coalesce("__to", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    return pack(tokenize(docs, tokenizer, capacity), capacity)
+    small_batches(docs.sparkSession)
+    pieces, place = _pieces(tokenizer, capacity), _pack_rows("length", capacity)
+    # cut and packed in one pass: two, one after the other, would hold two Python workers a task
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("__partition"))
+    return _merge(rows.mapInArrow(lambda batches: place(pieces(batches)), _ddl(PIECE | PLACE)), capacity)
