@@ -9,8 +9,8 @@ alternating large-star and small-star joins the links to components.
    link is lost to a bad centre, pairs never leave a task, and no task holds a whole bucket.
 5. Components of all links; the least doc_id of a component is kept.
 
-At the link's least similarity s a pair shares no band with probability (1 - s^rows)^bands: 4e-7 for 0.85
-with 26 bands of 5. The signature test leaves 5 standard deviations of room, so it costs less still.
+At the link's least similarity s a pair shares no band with probability (1 - s^rows)^bands: with 26 bands
+of 5, 4e-7 for 0.85 (op5) and 3.3e-5 for 0.80 (the pipeline). The signature test leaves 5 standard deviations of room, so it costs less still.
 
 Null texts and texts without words have an empty set, link to nothing, and are kept. A null id takes part;
 component_id is the least id that isn't null, or null if there is none (such rows are kept). Repeated rows
