@@ -56,8 +56,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, full: bool) -> DataFrame:
-    """doc_id, rk, n_shingles, cid (16 bytes that name the set) and, by `full`, either band keys or words of the set and the signature with them."""
-    schema = "doc_id long, rk long, n_shingles long, cid binary, bands array<long>" + ", sig binary, items binary" * full
+    """doc_id, rk, th (a hash of the text), n_shingles, cid (16 bytes that name the set) and, by `full`, either band keys or words of the set and the signature with them."""
+    schema = "doc_id long, rk long, th long, n_shingles long, cid binary, bands array<long>" + ", sig binary, items binary" * full
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("words", WordHashes)
@@ -65,7 +65,7 @@ def sets(docs: DataFrame, full: bool) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 n, cid, keys, sigs, items = [], [], [], [], []
-                for text in b.column(2).cast(pa.binary()).to_pylist():
+                for text in b.column(3).cast(pa.binary()).to_pylist():
                     # bytes.lower() and bytes.split() know ASCII only, and split at its six white spaces
                     h = shingles(hashes.of((text or b"").lower().split()))
                     n.append(len(h))
@@ -75,12 +75,12 @@ def sets(docs: DataFrame, full: bool) -> DataFrame:
                     if full:
                         sigs.append(sig.astype(np.uint16).tobytes() if len(h) else None)
                         items.append(h.tobytes())
-                cols = [b.column(0).cast(pa.int64()), b.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                cols = [b.column(0).cast(pa.int64()), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 if full:
                     cols += [pa.array(sigs, pa.binary()), pa.array(items, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), "text").mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.xxhash64("text").alias("th"), "text").mapInArrow(work, schema)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -146,7 +146,10 @@ def _compare(percent: int):
 
 
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, rk, n_shingles, component_id for every row of docs; links have 100 |A and B| >= percent |A or B|."""
+    """doc_id, rk, th, n_shingles, component, component_id for every row of docs; links have 100 |A and B| >= percent |A or B|.
+
+    component names the component itself, whatever ids it has; it is null without words.
+    """
     scratch = Scratch(docs.sparkSession)
     every = scratch.table(sets(docs, full=False))
     some = every.filter(F.col("n_shingles") > 0)
@@ -178,11 +181,11 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     label = connected_components(more.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     named = classes.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    final = scratch.table(named.join(least, "component").select("cid", "component_id"))
+    final = scratch.table(named.join(least, "component").select("cid", "component", "component_id"))
     scratch.release()
     scratch.drop(seats, full)
-    out = every.select("doc_id", "rk", "n_shingles", "cid").join(final, "cid", "left")
-    return out.select("doc_id", "rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = every.select("doc_id", "rk", "th", "n_shingles", "cid").join(final, "cid", "left")
+    return out.select("doc_id", "rk", "th", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def find_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -191,10 +194,17 @@ def find_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row of each component (and each row without words once for its id), with the columns of docs."""
+    """One row of each component (of the least doc_id, and of its least text hash; where all ids are null, each text), with the columns of docs.
+
+    Rows without words stay, each once for its id and text.
+    """
     from pyspark.sql import Window as W
 
-    kept = components(docs, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("rk").agg(F.max("n_shingles").alias("__n"))
-    rows = docs.withColumn("__rk", row_key()).join(kept.select(F.col("rk").alias("__rk")), "__rk", "left_semi")
-    # ids are keys; where rows repeat one, the first by text stays. The join has brought them together already
-    return rows.withColumn("__at", F.row_number().over(W.partitionBy("__rk").orderBy("text"))).filter("__at = 1").select(*docs.columns)
+    rows = components(docs, percent).withColumn("none", F.col("doc_id").isNull())
+    alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
+    # a row is named by (none, rk, th): one id may have many texts
+    kept = rows.groupBy(*(F.when(~alone, F.col("component")).alias("g0"), *(F.when(alone, F.col(c)).alias(f"g_{c}") for c in ("none", "rk", "th")))).agg(F.min(F.struct("none", "rk", "th")).alias("k"))
+    names = {"__none": F.col("doc_id").isNull(), "__rk": row_key(), "__th": F.xxhash64("text")}
+    found = docs.withColumns(names).join(kept.select(*(F.col(f"k.{n[2:]}").alias(n) for n in names)), [*names], "left_semi")
+    # rows that repeat id and text: one stays. The join has brought them together already
+    return found.withColumn("__at", F.row_number().over(W.partitionBy(*names).orderBy("text"))).filter("__at = 1").select(*docs.columns)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -66,3 +67,14 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     for x in list(parent):
         assert got.get(x, x) == find(x)
+
+
+def test_one_id_over_many_texts(spark):
+    """A repeated id costs no document that is a copy of nothing, and saves no copy."""
+    base = [f"w{k}" for k in range(100)]
+    near = [" ".join([*base, f"n{k}"]) for k in range(3)]
+    other = [f"b{k} c d e f g" for k in range(6)]
+    rows = [(3, near[0]), *((5, t) for t in other), (5, near[1]), (5, near[2]), (5, other[0]), (5, None), (5, ""), (42, None), (None, None)]
+    want = [(3, near[0]), *((5, t) for t in other), (5, None), (5, ""), (42, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], DOCS)
+    assert Counter((r.doc_id, r.text) for r in nd.keep_one(docs).collect()) == Counter(want)
