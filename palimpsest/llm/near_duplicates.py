@@ -13,8 +13,8 @@ At the link's least similarity s a pair shares no band with probability (1 - s^r
 of 5, 4e-7 for 0.85 (op5) and 3.3e-5 for 0.80 (the pipeline). The signature test leaves 5 standard deviations of room, so it costs less still.
 
 Null texts and texts without words have an empty set, link to nothing, and are kept. A null id takes part;
-component_id is the least id that isn't null, or null if there is none (such rows are kept). Repeated rows
-are in one component and all bear its id. Empty tables give an empty result.
+component_id is the least id that isn't null, or null if there is none (find_documents marks such rows as
+kept, keep_one keeps one of them). Repeated rows are in one component and all bear its id. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -194,14 +194,14 @@ def find_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row of each component (of the least doc_id, and of its least text hash; where all ids are null, each text), with the columns of docs.
+    """One row of each component (of the least doc_id, nulls last, and of its least text hash), with the columns of docs.
 
     Rows without words stay, each once for its id and text.
     """
     from pyspark.sql import Window as W
 
     rows = components(docs, percent).withColumn("none", F.col("doc_id").isNull())
-    alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
+    alone = F.col("component").isNull()
     # a row is named by (none, rk, th): one id may have many texts
     kept = rows.groupBy(*(F.when(~alone, F.col("component")).alias("g0"), *(F.when(alone, F.col(c)).alias(f"g_{c}") for c in ("none", "rk", "th")))).agg(F.min(F.struct("none", "rk", "th")).alias("k"))
     names = {"__none": F.col("doc_id").isNull(), "__rk": row_key(), "__th": F.xxhash64("text")}

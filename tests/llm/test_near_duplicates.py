@@ -78,3 +78,11 @@ def test_one_id_over_many_texts(spark):
     want = [(3, near[0]), *((5, t) for t in other), (5, None), (5, ""), (42, None), (None, None)]
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], DOCS)
     assert Counter((r.doc_id, r.text) for r in nd.keep_one(docs).collect()) == Counter(want)
+
+
+def test_near_copies_without_ids(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    texts = [f"{base} n{k}" for k in range(3)]
+    docs = spark.createDataFrame([(None, t, 1, "x") for t in [*texts, "a b c", "a b c", None]], DOCS)
+    got = [r.text for r in nd.keep_one(docs).collect()]
+    assert len(got) == 3 and set(got) - set(texts) == {"a b c", None}
