@@ -2,8 +2,9 @@
 
 Documents become token ids, each ended by id 0, and are cut only where longer than a sequence. Every task
 packs its own pieces by best fit, longest first; bins that are nearly full are done, and the others travel
-on as items of their fill, to fewer and fewer groups that pack them again, until one group is left or a
-round combines hardly any.
+on as items of their fill, to fewer and fewer groups that pack them again, until one group has seen all that
+could still combine. Bins that don't fit beside even the least one stay behind. Only where GROUP keeps the
+groups from shrinking does a round that combines hardly any end it.
 
 Null texts count as empty: they have the one id 0. Repeated rows are packed each. A document of any length
 is cut whole. An empty table gives an empty result.
@@ -221,10 +222,18 @@ def _merge(packed: DataFrame, capacity: int, room: int = ROOM, fan_in: int = 8)
     local = scratch.table(packed)
     # residual bins as items: item (a bin of an earlier round), fill; root and shift follow them from round to round
     left = scratch.cut(local.filter(F.col("fill") <= capacity - room).groupBy("bin").agg(F.first("fill").alias("size")).withColumnRenamed("bin", "item").withColumn("first", F.col("item")).withColumn("shift", F.lit(0).cast("long")))
-    n, done, round_ = left.groupBy("item").count().count(), [], 0
+
+    def still(bins: DataFrame) -> tuple[int, int]:
+        """The most that a bin may hold to fit beside the least one, and how many items hold no more."""
+        least = bins.agg(F.min("size")).first()[0]
+        most = min(capacity - room, capacity - least) if least is not None else -1
+        return most, bins.filter(F.col("size") <= most).select("item").distinct().count()
+
+    most, n = still(left)
+    left, done, round_ = left.filter(F.col("size") <= most), [], 0
     groups = max(1, left.rdd.getNumPartitions(), -(-n // GROUP)) if n else 0
     while n:
-        groups = max(-(-groups // fan_in), -(-n // GROUP))
+        was, groups = groups, max(-(-groups // fan_in), -(-n // GROUP))
         # one row an item is packed; the bins of the first round that it holds follow by a join
         items = left.select("item", "size").distinct().repartition(groups, F.xxhash64("item", F.lit(round_)))
         packed = scratch.cut(_packed(items, "size", capacity))
@@ -232,14 +241,13 @@ def _merge(packed: DataFrame, capacity: int, room: int = ROOM, fan_in: int = 8)
         # a bin's name must not clash with those of other rounds: it takes the least name of what it holds
         name = packed.groupBy("bin").agg(F.min("item").alias("name"))
         moved = scratch.cut(moved.join(name, "bin").select("first", "shift", F.col("name").alias("item"), F.col("fill").alias("size")))
-        rest = moved.filter(F.col("size") <= capacity - room)
-        before, n = n, rest.select("item").distinct().count()
-        # one group has seen all that is left; and bins that hardly combine any more are done as well
-        if groups == 1 or n > 0.98 * before:
+        before, (most, n) = n, still(moved)
+        # one group has seen all that is left; where groups can't shrink, bins that hardly combine any more are done as well
+        if groups == 1 or groups >= was and n > 0.98 * before:
             done.append(moved)
             break
-        done.append(moved.filter(F.col("size") > capacity - room))
-        left, round_ = rest, round_ + 1
+        done.append(moved.filter(F.col("size") > most))
+        left, round_ = moved.filter(F.col("size") <= most), round_ + 1
     if not done:
         return local.withColumnRenamed("bin", "sequence_id").withColumnRenamed("at", "offset").drop("fill")
     where = done[0]

@@ -64,3 +64,13 @@ def test_edge_cases(spark):
     from tokenizers import Tokenizer
 
     assert np.frombuffer(b"".join(bytes(r.ids) for r in ids), "<u4").tolist() == Tokenizer.from_file(tokenizer_path()).encode(rows[5][1], add_special_tokens=False).ids + [0]
+
+
+@pytest.mark.parametrize("heavy, bins", [(60, 901), (58, 900)])
+def test_small_bins_of_many_groups_meet(spark, monkeypatch, heavy, bins):
+    """Nine partitions of 100 heavy bins, and one item of 5 each that heavy bins of 60 of 64 can't take."""
+    monkeypatch.setattr(packing, "GROUP", 500)
+    small = F.col("id") % 101 == 100
+    sizes = spark.range(0, 909, 1, 9).select(F.col("id").alias("doc_id"), F.when(small, 5).otherwise(heavy).alias("length").cast("long"))
+    got = packing.pack(sizes, 64, 1, fan_in=2).collect()
+    assert len(got) == 909 and len({r.sequence_id for r in got}) == bins
