@@ -180,13 +180,17 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 5e-4) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled rows, those with the least hashes of doc_id among rows whose crc32(doc_id) mod 5 isn't 0."""
-    chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (id_crc() % 5 != 0)).select("doc_id", F.col(label).alias("__label"))
+    """Fits on at most `sample` labelled rows, those with the least hashes of doc_id among rows whose crc32(doc_id) mod 5 isn't 0.
+
+    Where ids repeat, a doc_id and label count once, with the text of the least hash.
+    """
+    chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (id_crc() % 5 != 0)).select("doc_id", F.col(label).alias("__label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(sample)
     # at most `sample` rows of a long and an int: a bounded broadcast
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "__label"))
-    # repeated ids may bring more rows than were sampled; the statistics alone come to the driver
-    table = rows.drop("text").limit(2 * sample).toArrow()
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "__label"))
+    # the statistics alone are exchanged and come to the driver
+    one = rows.groupBy("doc_id", "__label").agg(F.min(F.struct(F.xxhash64("text").alias("th"), *(PREFIX + s for s in STATS))).alias("s"))
+    table = one.select("__label", *(F.col(f"s.{PREFIX}{s}") for s in STATS)).toArrow()
     x = np.stack([table[PREFIX + s].to_numpy() for s in STATS], 1) if table.num_rows else np.zeros((0, len(STATS)))
     y = table["__label"].to_numpy().astype(float)
     order = np.lexsort([*x.T, y])  # the same model however the rows arrive

@@ -238,3 +238,18 @@ def test_masks_find_every_window_with_two_substitutions():
 
     for bad in combinations(range(decontamination.WINDOW), 2):
         assert any(all(s + k not in bad for k, c in enumerate(m) if c == "1") for m in decontamination.MASKS for s in range(decontamination.WINDOW - len(m) + 1))
+
+
+def test_quality_of_repeated_ids(spark):
+    """Copies of one id, in documents or in labels, push no other labelled document out of the sample."""
+    from pyspark.sql import Window as W
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    hot = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id")).first()
+    copies = docs.filter("length(text) > 0").select(F.lit(hot.doc_id).cast("long").alias("doc_id"), "text")
+    many = copies.unionByName(docs).repartition(3)
+    one = many.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("n = 1").drop("n")
+    twice = labels.unionByName(spark.createDataFrame([(hot.doc_id, hot.quality)] * 300, labels.schema))
+    want = quality.learn(one, labels, sample=200)
+    assert want.rules and quality.learn(many, twice, sample=200) == want
