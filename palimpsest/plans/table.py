@@ -7,6 +7,7 @@ at most files that vacuum() deletes. One writer at a time; a second one fails wi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,8 +94,8 @@ class KVTable:
             pass
 
     def _run_name(self, level: int) -> str:
-        self.files.delete(name := f"runs/L{level}-{self.next_run}")  # of a writer that died before its commit
-        return name
+        """A folder that no other writer has, dead or alive: what loses its commit is debris for vacuum()."""
+        return f"runs/L{level}-{self.next_run}/attempt={uuid.uuid4().hex}"
 
     def _publish(self, run: compaction.Run | None, remove: list[int], action: str, **extra) -> None:
         add = [run] if run else []
@@ -123,12 +124,15 @@ class KVTable:
         return True
 
     def vacuum(self) -> list[str]:
-        """Deletes run folders that the current version doesn't name, and returns their names."""
+        """Deletes run folders that the current version doesn't name, and returns their names. No writer may be at work."""
         self._writable()
-        live = {f"L{r.level}-{r.id}" for r in self.live.values()}
-        gone = [n for n in self.files.names("runs") if n not in live]
+        live = {r.path for r in self.live.values()}
+        gone = [x for n in self.files.names("runs") for a in self.files.names(f"runs/{n}") if (x := f"runs/{n}/{a}") not in live]
         for n in gone:
-            self.files.delete(f"runs/{n}")
+            self.files.delete(n)
+        for n in self.files.names("runs"):
+            if not self.files.names(f"runs/{n}"):
+                self.files.delete(f"runs/{n}")
         return gone
 
     def close(self) -> None:
@@ -145,7 +149,7 @@ class KVTable:
         return self.spark.createDataFrame(self.pending, KV_LOG)
 
     def _read(self, some: Iterable[compaction.Run]) -> DataFrame:
-        return runs.read_runs(self.spark, self.files.base, [f"runs/L{r.level}-{r.id}" for r in some])
+        return runs.read_runs(self.spark, self.files.base, [r.path for r in some])
 
     def log(self, low: bytes | None = None, high: bytes | None = None, version: int | None = None) -> DataFrame:
         """All mutations of the current or an older version, of runs that meet [low, high] only. Older versions need their runs still on disk."""

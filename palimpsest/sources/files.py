@@ -14,7 +14,9 @@ class Files:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
 
     def create(self, name: str, data: bytes) -> None:
-        """Writes a new file; FileExistsError if there is one of that name."""
+        """Writes a new file, whole or not at all; FileExistsError if there is one of that name.
+
+        Two creators at one moment are told apart where rename refuses an existing target, as HDFS does."""
         if self.fs.exists(self._path(name)):
             raise FileExistsError(name)
         part = f"{name}.{self.jvm.java.util.UUID.randomUUID()}.part"

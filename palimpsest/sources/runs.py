@@ -34,4 +34,4 @@ def describe(spark: SparkSession, files: Files, name: str, id_: int, level: int)
     m = read_runs(spark, files.base, [name]).agg(
         F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.sum(F.col("deleted").cast("long")).alias("d"), F.sum(entry_bytes()).alias("b")
     ).first()
-    return Run(id_, level, bytes(m["lo"]), bytes(m["hi"]), m["b"], m["n"], m["s0"], m["s1"], m["d"]) if m["n"] else None
+    return Run(id_, level, bytes(m["lo"]), bytes(m["hi"]), m["b"], m["n"], m["s0"], m["s1"], m["d"], name) if m["n"] else None

@@ -239,3 +239,14 @@ def test_random_operations_against_a_dict(spark, path):
     assert rows(t.scan()) == sorted(truth.items())
     t.force_flush()
     assert rows(KVTable(spark, path).scan()) == sorted(truth.items())
+
+
+def test_losing_writer_destroys_nothing(spark, path):
+    a, b = KVTable(spark, path), KVTable(spark, path)
+    one = lambda k, s: spark.createDataFrame([(bytearray(k), bytearray(b"v"), False, s)], KV_LOG)
+    a.append(one(b"k", 1))
+    with pytest.raises(FileExistsError):
+        b.append(one(b"z", 99))
+    c = KVTable(spark, path)
+    assert rows(c.scan()) == rows(a.scan()) == [(b"k", b"v")]
+    assert len(c.vacuum()) == 1 and c.vacuum() == [] and rows(c.scan()) == [(b"k", b"v")]
