@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a driver that is its own executor may do without."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -39,6 +44,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
         self.kept: list[DataFrame] = []
+        self.cuts: set[str] = set()
         small_batches(spark)
         atexit.register(self.close)
 
@@ -51,12 +57,18 @@ class Scratch:
         out._scratch = path  # type: ignore[attr-defined]
         return out
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """A checkpoint in the shared folder: for small results of iterations, with fewer files than table()."""
+    def cut(self, df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+        """A checkpoint in the shared folder, for results of iterations: as many tasks as df has. Deletes the cut that it follows."""
         if self.spark.sparkContext.getCheckpointDir() is None:
             self.spark.sparkContext.setCheckpointDir(shared_dir(self.spark))
-        # no more files than the cluster has task slots: these results are small beside what made them
-        return df.coalesce(max(1, self.spark.sparkContext.defaultParallelism)).checkpoint()
+        out = df.checkpoint()
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            out._scratch = file.get()  # type: ignore[attr-defined]
+            self.cuts.add(file.get())
+        if instead_of is not None:
+            self.drop(instead_of)
+        return out
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Holds df on the executors until release(). What a lost executor held is computed again from written tables."""
@@ -72,10 +84,12 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _delete(self.spark, t._scratch)  # type: ignore[attr-defined]
+            self.cuts.discard(t._scratch)  # type: ignore[attr-defined]
 
     def close(self) -> None:
-        with contextlib.suppress(Exception):
-            _delete(self.spark, self.base)
+        for path in [self.base, *self.cuts]:
+            with contextlib.suppress(Exception):
+                _delete(self.spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -99,12 +113,38 @@ def row_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text")))
 
 
-def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str, max_rows: int = 200_000) -> DataFrame:
-    """Joins a written table: broadcast where a count proves it small, else by exchange (skewed keys of `big` can be split).
+def spare(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column (Spark ignores case)."""
+    have, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def bit_table(hashes: DataFrame, most: int = 1 << 28) -> np.ndarray:
+    """Bytes whose bit h mod their number of bits is set for each long of the one column of `hashes`.
 
-    max_rows bounds the broadcast; the columns of `small` must be of bounded width.
+    16 bits a hash, and at most `most` (32 MB) however many there are: beyond that more of what is asked for
+    is found by chance, so what passes must be joined exactly afterwards.
     """
-    return big.join(F.broadcast(small) if small.count() <= max_rows else small.hint("merge"), on, how)
+    (name,) = hashes.columns
+    n = hashes.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    bits = min(most, max(1 << 20, 1 << (16 * n).bit_length()))
+    at = F.pmod(F.col(name), F.lit(bits).cast("long")) + 1  # both functions count from 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for b, m in zip(rows["b"].to_pylist(), rows["m"].to_pylist()):
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
+    return out
+
+
+def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes h have their bit in a bit_table."""
+    at = h.view(np.uint64) & np.uint64(len(table) * 8 - 1)
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def worker_cache(name: str, make):

@@ -33,6 +33,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         n = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (n["n"], n["s"]) == mark or not n["n"]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._scratch = e._scratch  # type: ignore[attr-defined]
+            return out
         mark = (n["n"], n["s"])
-        e = scratch.cut(_small(_large(e)))
+        e = scratch.cut(_small(_large(e)), e)

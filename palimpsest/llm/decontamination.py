@@ -142,6 +142,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, flagged: DataFrame) -> DataFrame:
-    from .common import Scratch, join_sized
+    from .common import Scratch
 
-    return join_sized(docs, Scratch(docs.sparkSession).table(flagged), ["__key"], "left_anti")
+    return docs.join(Scratch(docs.sparkSession).table(flagged).hint("merge"), ["__key"], "left_anti")

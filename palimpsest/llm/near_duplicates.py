@@ -3,12 +3,17 @@ alternating large-star and small-star joins the links to components.
 
 1. Each text becomes its set of word shingles; texts with equal sets are one class from then on.
 2. Universal hashes' minima of each class fall into bands; classes that share a band's minima share a bucket.
-3. Each class of a bucket is compared with the bucket's least class: first signatures, then full sets.
-4. Buckets whose classes are not all in one component by then are compared further, every pair in blocks of
-   bounded size, except pairs already in one component; a pair belongs to its first common band alone. So no
-   link is lost to a bad centre, pairs never leave a task, and no task holds a whole bucket.
+3. Each class of a bucket is compared with the bucket's least class: first signatures, then, for what is left,
+   full sets.
+4. Buckets whose classes are not all in one component by then are compared further, every pair of classes of
+   different components in blocks of bounded size; a pair belongs to its first common band alone. Rows of a
+   component that fills blocks of its own never meet each other again, nor do sets whose sizes alone rule a
+   link out. Only signatures, of fixed width, are dealt to blocks; pairs that pass are confirmed on full sets.
 5. Components of all links; the least doc_id of a component is kept.
 
+Sets are kept of classes in buckets alone: a second pass over the texts, behind a bit table of bounded size,
+computes them again, so no text crosses the network.
+
 At the link's least similarity s a pair shares no band with probability (1 - s^rows)^bands: with 26 bands
 of 5, 4e-7 for 0.85 (op5) and 3.3e-5 for 0.80 (the pipeline). The signature test leaves 5 standard deviations of room, so it costs less still.
 
@@ -19,6 +24,7 @@ kept, keep_one keeps one of them). Repeated rows are in one component and all be
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key, worker_cache
+from .common import Scratch, bit_table, in_table, row_key, spare, worker_cache
 from .components import connected_components
 from .shingles import WordHashes, shingles
 
 BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
-#: Classes of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Classes of a bucket, by their signatures of 2 x HASHES bytes, that one task compares with as many others.
+BLOCK = 1024
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -42,47 +48,59 @@ _BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def minima(h: np.ndarray) -> np.ndarray:
-    """The least of each universal hash a x + b (mod 2^64, high 32 bits) over the set."""
+    """16 bits of the least of each universal hash a x + b (mod 2^64) over the set: middle bits, which stay even for sets of any size."""
     out, step = np.empty(HASHES, np.uint64), max(1, 65536 // len(h))
     for k in range(0, HASHES, step):
         out[k : k + step] = (_MUL[k : k + step, None] * h[None] + _ADD[k : k + step, None]).min(1)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(16)).astype(np.uint16)
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
-    k = (sig.astype(np.uint64).reshape(BANDS, ROWS) * _BAND).sum(1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    """One 64-bit key for each band of a signature, or of each row of signatures."""
+    k = (sig.astype(np.uint64).reshape(*sig.shape[:-1], BANDS, ROWS) * _BAND).sum(-1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (k ^ (k >> np.uint64(31))).view(np.int64)
 
 
-def sets(docs: DataFrame, full: bool) -> DataFrame:
-    """doc_id, rk, th (a hash of the text), n_shingles, cid (16 bytes that name the set) and, by `full`, either band keys or words of the set and the signature with them."""
-    schema = "doc_id long, rk long, th long, n_shingles long, cid binary, bands array<long>" + ", sig binary, items binary" * full
+def _set_of(text: bytes | None, hashes: WordHashes) -> np.ndarray:
+    # bytes.lower() and bytes.split() know ASCII only, and split at its six white spaces
+    return shingles(hashes.of((text or b"").lower().split()))
+
+
+def _class_of(h: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
+
+
+def sets(docs: DataFrame) -> DataFrame:
+    """doc_id, rk, th (a hash of the text), n_shingles, cid (16 bytes that name the set), bands (null without words)."""
+    schema = "doc_id long, rk long, th long, n_shingles long, cid binary, bands array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("words", WordHashes)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                n, cid, keys, sigs, items = [], [], [], [], []
-                for text in b.column(3).cast(pa.binary()).to_pylist():
-                    # bytes.lower() and bytes.split() know ASCII only, and split at its six white spaces
-                    h = shingles(hashes.of((text or b"").lower().split()))
-                    n.append(len(h))
-                    cid.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                    sig = minima(h) if len(h) else None
-                    keys.append(bands(sig) if len(h) else None)
-                    if full:
-                        sigs.append(sig.astype(np.uint16).tobytes() if len(h) else None)
-                        items.append(h.tobytes())
-                cols = [b.column(0).cast(pa.int64()), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                if full:
-                    cols += [pa.array(sigs, pa.binary()), pa.array(items, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
+        for b in batches:
+            found = [_set_of(t, hashes) for t in b.column(3).cast(pa.binary()).to_pylist()]
+            keys = [bands(minima(h)) if len(h) else None for h in found]
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(map(len, found), pa.int64()), pa.array(map(_class_of, found), pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), F.xxhash64("text").alias("th"), "text").mapInArrow(work, schema)
 
 
+def full_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """cid, n, sig, items (the set) of the rows whose hash of (rk, th) is in the bit table `wanted`; others only by chance."""
+    schema, sent = "cid binary, n long, sig binary, items binary", docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, table, seen = worker_cache("words", WordHashes), sent.value, set()
+        for b in batches:
+            name = b.column(0).to_numpy()
+            at = [i for i in np.flatnonzero(in_table(table, name)).tolist() if not (name[i] in seen or seen.add(name[i]))]  # rows that repeat
+            found = [h for t in b.column(1).take(pa.array(at, pa.int64())).cast(pa.binary()).to_pylist() if len(h := _set_of(t, hashes))]
+            cols = [pa.array(map(_class_of, found), pa.binary()), pa.array(map(len, found), pa.int64()), pa.array((minima(h).tobytes() for h in found), pa.binary()), pa.array((h.tobytes() for h in found), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["cid", "n", "sig", "items"])
+
+    return docs.select(F.xxhash64(row_key(), F.xxhash64("text")), "text").mapInArrow(work, schema)
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(a) + len(b) - len(np.union1d(a, b))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -94,96 +112,118 @@ def _least_equal(percent: int) -> int:
     return int(np.floor(HASHES * s - 5 * np.sqrt(HASHES * s * (1 - s))))
 
 
-def _confirm(percent: int):
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
+
+
+def _alike(percent: int):
+    """Of pairs with sizes and signatures, those that may link."""
     least = _least_equal(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c, sa, sb, xa, xb = (b.column(i) for i in range(6))
-            ok = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                if (np.frombuffer(sa[i].as_py(), np.uint16) == np.frombuffer(sb[i].as_py(), np.uint16)).sum() >= least:
-                    ok[i] = _linked(np.frombuffer(xa[i].as_py(), np.uint64), np.frombuffer(xb[i].as_py(), np.uint64), percent)
-            yield pa.RecordBatch.from_arrays([a, c], ["a", "b"]).filter(pa.array(ok))
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            ok &= (_signatures(b.column(4)) == _signatures(b.column(5))).sum(1) >= least
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    return work
+
+
+def _confirm(percent: int):
+    """Of pairs with full sets, the links."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [_linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return work
 
 
 def _compare(percent: int):
-    """For one pair of blocks of a bucket: links that join what labels and earlier links have not joined."""
+    """For one pair of blocks of a bucket: pairs of different labels that may link."""
     least = _least_equal(percent)
 
     def work(table: pa.Table) -> pa.Table:
-        names = table["cid"].to_pylist()
-        order = sorted(range(len(names)), key=names.__getitem__)
-        order = [k for n, k in enumerate(order) if n == 0 or names[order[n - 1]] != names[k]]  # repeated rows
-        names = [names[k] for k in order]
-        take = lambda c: [x for x in table[c].take(order).to_pylist()]
-        sig = np.stack([np.frombuffer(x, np.uint16) for x in take("sig")])
-        keys, block, items = np.array(take("bands")), np.array(take("block")), [np.frombuffer(x, np.uint64) for x in take("items")]
-        hub, (here, lo, hi) = table["hub"][0].as_py(), (table[c][0].as_py() for c in ("key", "lo", "hi"))
-        band = int(np.flatnonzero(keys[0] == here)[0])
-        size, parent, seen = np.array([len(x) for x in items]), {}, []
-        root = np.array([parent.setdefault(x, len(parent)) for x in take("label")])  # the component of each row
-        for i in range(len(names)):
-            if names[i] == hub:
-                continue
-            j = np.arange(i + 1, len(names))
-            j = j[(root[j] != root[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-            if lo != hi:
-                j = j[block[j] != block[i]]
-            if len(j):
-                j = j[(sig[j] == sig[i]).sum(1) >= least]
-            if band and len(j):
-                j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
-            for k in j.tolist():
-                if root[k] != root[i] and names[k] != hub and _linked(items[i], items[k], percent):
-                    seen.append((names[i], names[k]))
-                    root[root == root[k]] = root[i]
-        return pa.table({"a": pa.array([x for x, _ in seen], pa.binary()), "b": pa.array([x for _, x in seen], pa.binary())})
+        names, key = table["cid"].to_pylist(), table["key"][0].as_py()
+        sig, size, block = _signatures(table["sig"]), table["n"].to_numpy(), table["block"].to_numpy()
+        keys, ids = bands(sig), {}
+        label = np.array([ids.setdefault(x, len(ids)) for x in table["label"].to_pylist()])
+        band = int(np.flatnonzero(keys[0] == key)[0])
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        a, b = [], []
+        for at, i in enumerate(left.tolist()):
+            j = right[at + 1 :] if lo == hi else right
+            j = j[(label[j] != label[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
+            j = j[(sig[j] == sig[i]).sum(1) >= least]
+            for k in j[~(keys[j, :band] == keys[i, :band]).any(1)].tolist():
+                a.append(names[i])
+                b.append(names[k])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return work
 
 
+def _blocks(rest: DataFrame, percent: int) -> DataFrame:
+    """rest (key, cid, label, n, sig) dealt to pairs of blocks: plus block, lo, hi, once for each pair of blocks that a row is in.
+
+    A label with more than BLOCK rows in a bucket has blocks of its own, which are not paired with each other;
+    the others share blocks. A block holds sizes of one range, and is paired with those of ranges next to it alone.
+    """
+    step = -math.log(percent / 100) * 1.001  # sizes that may link are less than a whole step apart
+    rest = rest.withColumn("range", F.floor(F.log("n") / step).cast("int"))
+    count = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    own = count.filter(F.col("c") > BLOCK).withColumnRenamed("label", "own").withColumn("label", F.col("own"))
+    shared = count.filter(F.col("c") <= BLOCK).groupBy("key").agg(F.sum("c").alias("m"))
+    block = F.when(F.col("own").isNotNull(), F.xxhash64(F.col("label"), F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / BLOCK)), F.col("range"))).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("label"), F.ceil(F.col("m") / BLOCK)), F.col("range")))
+    seats = rest.join(own, ["key", "label"], "left").join(shared, "key", "left").withColumn("block", block).select("key", "cid", "label", "own", "n", "sig", "range", "block")
+    other = seats.select(F.col("key").alias("k"), F.col("block").alias("o_block"), F.col("own").alias("o_own"), F.col("range").alias("o_range")).distinct()
+    meet = (F.col("key") == F.col("k")) & (F.abs(F.col("range") - F.col("o_range")) <= 1) & F.coalesce(F.col("own") != F.col("o_own"), F.lit(True))
+    return seats.join(other, meet).select("key", "cid", "label", "n", "sig", "block", F.least("block", "o_block").alias("lo"), F.greatest("block", "o_block").alias("hi"))
+
+
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, rk, th, n_shingles, component, component_id for every row of docs; links have 100 |A and B| >= percent |A or B|.
 
     component names the component itself, whatever ids it has; it is null without words.
     """
     scratch = Scratch(docs.sparkSession)
-    every = scratch.table(sets(docs, full=False))
-    some = every.filter(F.col("n_shingles") > 0)
-    classes = scratch.keep(some.groupBy("cid").agg(F.min("doc_id").alias("doc"), F.min("rk").alias("rk")))
+    every = scratch.table(sets(docs))
     # one row of each class enters the buckets, however many copies there are
-    seats = scratch.table(some.join(classes.select("cid", "rk"), ["cid", "rk"], "left_semi").select("cid", F.explode("bands").alias("key")))
-    buckets = seats.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("hub") != F.col("last")).drop("last")
-    members = scratch.keep(seats.join(buckets, "key"))
-    pairs = scratch.keep(members.filter(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(classes, "cid").select("cid", "rk")
-    wanted = scratch.keep(wanted)
-    texts = docs.select("doc_id", "text", row_key().alias("__rk")).join(wanted.select(F.col("rk").alias("__rk")).distinct().hint("shuffle_hash"), "__rk", "left_semi")
-    full = sets(texts, full=True).join(wanted.select("cid", "rk"), ["cid", "rk"], "left_semi")
-    full = scratch.table(full.dropDuplicates(["cid"]).select("cid", "bands", "sig", "items"))
-    side = lambda c, n: full.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{n}"), F.col("items").alias(f"items_{n}"))
-    both = pairs.join(side("a", 0), "a").join(side("b", 1), "b").select("a", "b", "sig_0", "sig_1", "items_0", "items_1")
-    links = scratch.cut(both.mapInArrow(_confirm(percent), "a binary, b binary"))
+    some = every.filter(F.col("n_shingles") > 0).groupBy("cid")
+    classes = scratch.table(some.agg(F.min("doc_id").alias("doc"), F.min(F.struct("rk", "th")).alias("row"), F.first("bands").alias("bands")))
+    seats = classes.select("cid", F.explode("bands").alias("key"))
+    buckets = seats.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1")
+    members = scratch.table(seats.join(buckets.hint("shuffle_hash"), "key"))
+    hubs = members.groupBy("key").agg(F.min("cid").alias("hub"))
+    pairs = members.join(hubs, "key").filter(F.col("cid") != F.col("hub")).select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select(F.xxhash64("row.rk", "row.th").alias("h"))
+    full = scratch.table(full_sets(docs, bit_table(wanted)).dropDuplicates(["cid"]))
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return full.select(F.col("cid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    def confirmed(may: DataFrame) -> DataFrame:
+        both = may.join(side("a", "items"), "a").join(side("b", "items"), "b").select("a", "b", "items_a", "items_b")
+        return scratch.table(both.mapInArrow(_confirm(percent), "a binary, b binary"))
+
+    signed = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+    links = confirmed(scratch.table(signed.mapInArrow(_alike(percent), "a binary, b binary")))
     label = connected_components(links, scratch)
-    # buckets that still hold several components; their pairs with the hub are settled
-    at = members.filter(F.col("n") > 2).join(label.select(F.col("node").alias("cid"), F.col("component").alias("label")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    # buckets that still hold several components; in those of two, the one pair is settled
+    at = members.filter("in_bucket > 2").join(label.select(F.col("node").alias("cid"), F.col("component").alias("label")), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     open_ = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1")).select("key")
-    rest = at.join(open_, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = rest.select("key", "cid", "hub", "label", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))).alias("p"))
-    dealt = scratch.keep(dealt.select("key", "cid", "hub", "label", "block", "p.lo", "p.hi"))
-    # pairs of blocks in which all rows share one label have nothing left to join
-    live = dealt.groupBy("key", "lo", "hi").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1")).select("key", "lo", "hi")
-    work = dealt.join(live, ["key", "lo", "hi"], "left_semi").join(full, "cid")
-    more = scratch.cut(work.groupBy("key", "lo", "hi").applyInArrow(_compare(percent), "a binary, b binary"))
-    label = connected_components(more.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
-    named = classes.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    rest = scratch.table(at.join(open_, "key").join(full.select("cid", "n", "sig"), "cid"))
+    work = _blocks(rest, percent).groupBy("key", "lo", "hi").applyInArrow(_compare(percent), "a binary, b binary")
+    more = confirmed(scratch.table(work))
+    scratch.drop(rest, links)
+    first, label = label, connected_components(more.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
+    named = classes.select("cid", "doc").join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     final = scratch.table(named.join(least, "component").select("cid", "component", "component_id"))
-    scratch.release()
-    scratch.drop(seats, full)
+    scratch.drop(classes, members, full, more, first, label)
     out = every.select("doc_id", "rk", "th", "n_shingles", "cid").join(final, "cid", "left")
     return out.select("doc_id", "rk", "th", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -204,7 +244,7 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     alone = F.col("component").isNull()
     # a row is named by (none, rk, th): one id may have many texts
     kept = rows.groupBy(*(F.when(~alone, F.col("component")).alias("g0"), *(F.when(alone, F.col(c)).alias(f"g_{c}") for c in ("none", "rk", "th")))).agg(F.min(F.struct("none", "rk", "th")).alias("k"))
-    names = {"__none": F.col("doc_id").isNull(), "__rk": row_key(), "__th": F.xxhash64("text")}
-    found = docs.withColumns(names).join(kept.select(*(F.col(f"k.{n[2:]}").alias(n) for n in names)), [*names], "left_semi")
+    none, rk, th, at = names = spare(docs.columns, "none", "rk", "th", "at")
+    found = docs.withColumns({none: F.col("doc_id").isNull(), rk: row_key(), th: F.xxhash64("text")}).join(kept.select(F.col("k.none").alias(none), F.col("k.rk").alias(rk), F.col("k.th").alias(th)), names[:3], "left_semi")
     # rows that repeat id and text: one stays. The join has brought them together already
-    return found.withColumn("__at", F.row_number().over(W.partitionBy(*names).orderBy("text"))).filter("__at = 1").select(*docs.columns)
+    return found.withColumn(at, F.row_number().over(W.partitionBy(none, rk, th).orderBy("text"))).filter(F.col(at) == 1).select(*docs.columns)
