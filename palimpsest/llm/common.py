@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +148,15 @@ def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def readable(column: pa.Array) -> pa.Array:
+    """A batch's texts as valid UTF-8: what isn't becomes U+FFFD, as bytes.decode does it."""
+    raw = column.cast(pa.binary())
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
 def worker_cache(name: str, make):
     """What make() gives, kept over all tasks of this Python worker until another name is asked for: one cache at a time."""
     import sys

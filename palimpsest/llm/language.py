@@ -6,7 +6,7 @@ expectation-maximisation estimates from the blocks' likelihoods. The set of lang
 the log-likelihood gains more than a penalty for each further language; the largest share is the answer.
 
 A null text, or one without a letter, is `und` with score 0, and so is everything when nothing can be
-learned. Texts are read whole. Repeated rows give repeated results; an empty table gives an empty one.
+learned. Bytes that aren't UTF-8 count as U+FFFD, which is no letter. Texts are read whole. Repeated rows give repeated results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, small_batches
+from .common import id_crc, readable, small_batches
 
 BUCKETS = 1 << 15
 BLOCK = 32
 PENALTY = 8.0
-#: The model has a row of BUCKETS numbers for each language; more than this many don't belong in one model.
+#: The model has a row of BUCKETS numbers for each language, and comes to the driver: more languages than `most` (0.25 GB of counts) are an error.
 MAX_LANGUAGES = 2000
 _A, _B = np.uint32(2654435761), np.uint32(2246822519)
 _LOW = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
@@ -42,24 +42,25 @@ def trigrams(text: str) -> np.ndarray:
     return (h * _A) >> np.uint32(32 - 15)
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, most: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages and their log-probabilities (languages x BUCKETS), from text and lang of docs."""
+    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for lang, text in zip(b.column(0).to_pylist(), readable(b.column(1)).to_pylist()):
                 total[lang] = total.get(lang, 0) + np.bincount(trigrams(text), minlength=BUCKETS)
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     taught = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    if docs.filter(F.col("lang").isNotNull()).select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} languages")
     counts = taught.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     names = sorted(set(table["lang"].to_pylist()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages")
     n = np.zeros((len(names), BUCKETS))
     index = {x: i for i, x in enumerate(names)}
     n[[index[x] for x in table["lang"].to_pylist()], table["bucket"].to_numpy()] = table["n"].to_numpy()
@@ -119,7 +120,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [infer(t, names, logp) for t in b.column(1).to_pylist()]
+            rows = [infer(t, names, logp) for t in readable(b.column(1)).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string())))], ["doc_id", "lang_pred", "score", "mixture"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double, mixture string")

@@ -2,9 +2,10 @@
 
 All templates, token by token, form one automaton. A text's tokens stream through it; at each token the
 automaton holds the longest run that ends there and occurs in some template (the matching statistic). Runs
-that can't grow and are long enough are laid on their templates and chained where they follow each other
-with small gaps; a template whose chain covers enough of it gives its label and span. Phrases are templates
-that only count where they stand whole.
+that can't grow and are long enough are laid on their templates, in every place that they have there, and the
+best chains of runs that follow each other in text and template with small gaps are found by dynamic
+programming; a chain that covers enough of its template gives the label and span. Phrases are templates that
+only count where they stand whole.
 
 A token is a run of ASCII letters, digits and other than ASCII characters, A-Z lower-cased. A null text
 has no tokens. Texts are read whole; repeated rows give repeated results; an empty table gives an empty one.
@@ -50,22 +51,32 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """States of all substrings of all templates; `where` gives, by template, one place where a state's strings end."""
+    """States of all substrings of all templates. `where` gives (template, end) of each place where a state's strings
+    stand, for states that have strings of at least `least` tokens; `one` gives one place for every state."""
 
-    def __init__(self, rows: list[list[int]]):
+    def __init__(self, rows: list[list[int]], least: int = 1):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.size, self.where = [-1], [0], [{}]
+        self.link, self.size = [-1], [0]
+        places: list[tuple[int, int, int]] = []
         for t, row in enumerate(rows):
             last = 0
             for at, token in enumerate(row):
                 last = self._extend(last, token)
-                self.where[last].setdefault(t, at + 1)
+                places.append((last, t, at + 1))
+        self.one: list[tuple[int, int]] = [(0, 0)] * len(self.size)
+        self.where: list[set[tuple[int, int]]] = [set() for _ in self.size]
+        for s, t, end in places:
+            self.where[s].add((t, end))
         for s in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
-            for t, at in self.where[s].items():
-                self.where[self.link[s]].setdefault(t, at)
+            if self.where[s]:
+                self.one[s] = min(self.where[s])
+            if self.size[self.link[s]] >= least:
+                self.where[self.link[s]] |= self.where[s]
+            else:
+                self.where[self.link[s]].add(self.one[s])
 
     def _state(self, size: int, moves: dict[int, int], link: int) -> int:
-        self.next.append(moves), self.size.append(size), self.link.append(link), self.where.append({})
+        self.next.append(moves), self.size.append(size), self.link.append(link)
         return len(self.size) - 1
 
     def _split(self, p: int, token: int) -> int:
@@ -110,12 +121,14 @@ class Scanner:
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for x in texts for w in x))}
         rows = [[vocabulary[w] for w in x] for x in texts]
         self.vocabulary, self.sizes = vocabulary, [len(x) for x in rows]
-        self.automaton = SuffixAutomaton(rows)
+        self.automaton = SuffixAutomaton(rows, seed)
+        #: no shorter run of known words holds a phrase or a seed
+        self.least = min([seed, *(len(x) for x in rows[len(templates) :])])
         whole = {tuple(rows[len(templates) + i]): phrases[i][1] for i in range(len(phrases))}
         #: by state, the phrases (length, label) that its longest string ends with
         self.ends: list[list[tuple[int, str]]] = [[] for _ in self.automaton.size]
         for s in range(1, len(self.ends)):
-            t, at = next(iter(self.automaton.where[s].items()))
+            t, at = self.automaton.one[s]
             longest = tuple(rows[t][at - self.automaton.size[s] : at])
             self.ends[s] = [(len(p), label) for p, label in whole.items() if longest[-len(p) :] == p]
 
@@ -127,7 +140,7 @@ class Scanner:
         runs: dict[int, list[tuple[int, int, int]]] = {}
         ends, where = self.ends, self.automaton.where
         for start, stop in zip(known[::2].tolist(), known[1::2].tolist()):
-            if stop - start < 2:
+            if stop - start < self.least:
                 continue
             prior = (0, 0)
             for at, (s, n) in enumerate([*self.automaton.stream(ids[start:stop].tolist()), (0, 0)], start):
@@ -135,7 +148,7 @@ class Scanner:
                     if n >= size:
                         places.append((at + 1 - size, label))
                 if prior[1] >= self.seed and n <= prior[1]:
-                    for t, end in where[prior[0]].items():
+                    for t, end in where[prior[0]]:
                         if t < len(self.labels):
                             runs.setdefault(t, []).append((at - prior[1], at, end))
                 prior = (s, n)
@@ -149,15 +162,36 @@ class Scanner:
         }
 
     def _chain(self, t: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-        """Chains of runs in order on both sides, with gaps up to `gap`; those that cover enough of template t."""
-        out, chain = [], None
-        for start, stop, end in [*sorted(found), (1 << 60, 1 << 60, 1 << 60)]:
-            if chain and start - chain[1] <= self.gap and 0 <= end - (stop - start) - chain[2] <= self.gap:
-                chain = (chain[0], stop, end, chain[3] + stop - start)
-                continue
-            if chain and chain[3] >= max(self.seed, self.cover * self.sizes[t]):
-                out.append((chain[0], chain[1], self.labels[t], min(1.0, chain[3] / self.sizes[t])))
-            chain = (start, stop, end, stop - start)
+        """The best chains of runs (start, stop, end in template t), each run in one of them, that cover enough of t.
+
+        A run follows another if it begins later in text and template and leaves gaps of up to `gap` on both
+        sides; what the two share counts once."""
+        found = sorted(found)
+        longest = max(stop - start for start, stop, _ in found)
+        total, back, first = [], [], 0
+        for i, (start, stop, end) in enumerate(found):
+            best, prior = stop - start, -1
+            while found[first][0] + longest + self.gap < start:
+                first += 1
+            for j in range(first, i):
+                _, stop_j, end_j = found[j]
+                here = end - (stop - start)
+                shared = max(0, stop_j - start, end_j - here)
+                if shared < stop - start and start + shared - stop_j <= self.gap and here + shared - end_j <= self.gap and found[j][0] < start and end_j < end:
+                    if total[j] + stop - start - shared > best:
+                        best, prior = total[j] + stop - start - shared, j
+            total.append(best)
+            back.append(prior)
+        out, used = [], set()
+        for i in sorted(range(len(found)), key=lambda i: (-total[i], i)):
+            if total[i] < max(self.seed, self.cover * self.sizes[t]):
+                break
+            run = [i]
+            while back[run[-1]] >= 0 and not used & {run[-1]}:
+                run.append(back[run[-1]])
+            if not used & {*run}:
+                out.append((found[run[-1]][0], found[i][1], self.labels[t], min(1.0, total[i] / self.sizes[t])))
+            used |= {*run}
         return out
 
 

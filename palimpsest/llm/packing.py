@@ -6,12 +6,13 @@ on as items of their fill, to fewer and fewer groups that pack them again, until
 could still combine. Bins that don't fit beside even the least one stay behind. Only where GROUP keeps the
 groups from shrinking does a round that combines hardly any end it.
 
-Null texts count as empty: they have the one id 0. Repeated rows are packed each. A document of any length
+Null texts count as empty: they have the one id 0. Bytes that aren't UTF-8 count as U+FFFD. Repeated rows are packed each. A document of any length
 is cut whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, worker_cache
+from .common import Scratch, readable, small_batches, worker_cache
 
 CAPACITY = 2048
 #: Bins with less room than this are emitted. Must be 1 or more.
@@ -39,8 +40,26 @@ _WORD = re.compile("[a-zß-öø-ÿ]+")
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
+# The settings of a tokenizer for which Encoder's short cuts hold.
+_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def has_short_cuts(settings: dict) -> bool:
+    """Whether a tokenizer file is of the kind that Encoder knows: texts are cut as _SETTINGS say, and no added token can lie in a plain piece or across two."""
+    odd = lambda x: re.search(r"\s|~", x) or re.fullmatch(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?*$%&#|()]*", x)
+    same = all(settings.get(k) == v for k, v in _SETTINGS.items()) and all(settings["model"].get(k) == v for k, v in _MODEL.items())
+    return same and not any(odd(t["content"]) for t in settings.get("added_tokens", ()))
+
+
 class Encoder:
-    """Token ids of texts. A text is cut at ASCII white space, which this tokenizer drops before anything
+    """Token ids of texts, by short cuts where the tokenizer's settings allow them, else by the tokenizer alone. A text is cut at ASCII white space, which this tokenizer drops before anything
     else, and Latin letters are cut from the plain punctuation after them, as it does, too. Arrow finds the
     distinct pieces of a batch; the tokenizer sees each once, and their ids are laid out by index."""
 
@@ -53,9 +72,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.mark = self._encode("~")
+        with open(path, encoding="utf-8") as f:
+            self.short = has_short_cuts(json.load(f)) and len(self.mark) == 1
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (32 bits), and where each text's begin and end."""
+        if not self.short:
+            each = [self._encode(t or "") for t in texts.to_pylist()]
+            return np.concatenate([np.empty(0, "<u4"), *each]), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         words = lists.flatten().dictionary_encode()
         ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
@@ -138,7 +162,7 @@ def _pieces(tokenizer: str, capacity: int, with_ids: bool = False):
             for b in slices(whole, 1):
                 out: list[tuple] = []
                 row: list[int] = []
-                flat, ends = encoder.ids(b.column(1).cast(pa.string()))
+                flat, ends = encoder.ids(readable(b.column(1)))
                 for i, (doc, first, last) in enumerate(zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist())):
                     ids = flat[first:last].tobytes() + b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):

@@ -5,22 +5,28 @@ A glob is a row of items, each one character or any character (`?`), with `*` be
 moves every rule over one character: D' = ((D << 1) & B[c]) | (D & S), where B[c] has the bit of state
 i + 1 where item i takes c, and S the bits of states that a `*` lets stay. Batches of URLs step together.
 
-Rules are host suffixes with a path prefix; they become globs over `.host`, a byte that no UTF-8 text
-has, and the path, so that a rule can only match its own part. The longest rule that matches wins; without
-any, the globs of the method block, and all else is allowed.
+Rules are host suffixes with a path prefix, in both of which `*` and `?` may stand; they become globs over
+`.host`, a byte that no UTF-8 text has, and the path, so that a rule can only match its own part. The longest
+rule that matches wins (of equals the last); without any, the globs of the method judge the canonical URL:
+host without user, port and final dots, percent signs decoded, lower case, slashes single. What they don't
+block is allowed.
 
-A null URL or one without `://` has an empty host and path, no rule, and is allowed. Repeated rows give
+Bytes that aren't UTF-8 count as U+FFFD. A null URL or one without `://` has an empty host and path, no rule, and is allowed. Repeated rows give
 repeated results; an empty table gives an empty result; URLs may be of any length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import readable
+
 SEP = b"\xff"
 STAR, ANY = -1, -2
 # The rules (verdict, host, path).
@@ -97,35 +103,38 @@ class ShiftAnd:
             step = now << one
             step[:, 1:] |= now[:, :-1] >> np.uint64(63)
             d[live:] = (step & self.table[grid[live:, k]]) | (now & self.stay)
-        return np.stack([(d[:, w] & bit) != 0 for w, bit in self.final], 1)
+        return np.stack([(d[:, w] & bit) != 0 for w, bit in self.final], 1) if self.final else np.zeros((len(texts), 0), bool)
 
 
-def compile_rules(rules=RULES, blocked: Sequence[str] = BLOCKED) -> ShiftAnd:
-    return ShiftAnd([f"*.{_plain(h)}\xff{_plain(p)}*" for _, h, p in rules] + list(blocked))
+def canonical(host: str, path: str) -> tuple[str, str]:
+    """The form that different spellings of a URL have in common."""
+    host = re.sub(r":[0-9]*$", "", host.rpartition("@")[2])
+    return unquote(host).lower().rstrip("."), re.sub("/+", "/", unquote(path)) or "/"
 
 
-def _plain(text: str) -> str:
-    if set(text) & set("*?"):
-        raise ValueError(f"a rule's host and path are plain: {text}")
-    return text
+def compile_rules(rules=RULES, blocked: Sequence[str] = BLOCKED) -> tuple[ShiftAnd, ShiftAnd]:
+    """The automata of the rules and of the method's globs."""
+    return ShiftAnd([f"*.{h}\xff{p}*" for _, h, p in rules]), ShiftAnd(blocked)
 
 
 def judge_pages(pages: DataFrame, rules=RULES, blocked: Sequence[str] = BLOCKED) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    automaton, size = compile_rules(rules, blocked), [len(h + p) for _, h, p in rules]
+    (ruled, methods), size = compile_rules(rules, blocked), [len(h + p) for _, h, p in rules]
     names, by_length = [h + p for _, h, p in rules], sorted(range(len(rules)), key=lambda i: size[i])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = lambda h, p: b"." + h.encode() + SEP + p.encode()
         for b in batches:
-            parts = [parse(u) for u in b.column(1).to_pylist()]
-            hit = automaton.run([b"." + h.encode() + SEP + p.encode() for h, p in parts])
+            parts = [parse(u) for u in readable(b.column(1)).to_pylist()]
+            hit = ruled.run([form(h, p) for h, p in parts])
             best = np.full(len(parts), -1)
             for i in by_length:
                 best[hit[:, i]] = i
-            verdict = np.where(hit[:, len(rules) :].any(1), "block", "allow").tolist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array([names[i] if i >= 0 else None for i in best], pa.string()), pa.array([rules[i][0] if i >= 0 else v for i, v in zip(best, verdict)], pa.string())],
-                ["page_id", "host", "path", "rule", "verdict"],
-            )
+            left = np.flatnonzero(best < 0)
+            stop = np.zeros(len(parts), bool)
+            stop[left] = methods.run([form(*canonical(*parts[i])) for i in left]).any(1)
+            verdict = [rules[i][0] if i >= 0 else "block" if v else "allow" for i, v in zip(best, stop)]
+            cols = [b.column(0).cast(pa.int64()), *(pa.array(x, pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], [names[i] if i >= 0 else None for i in best], verdict))]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "rule", "verdict"])
 
     return pages.select("page_id", "url").mapInArrow(judge, SCHEMA)
