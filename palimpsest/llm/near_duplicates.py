@@ -6,9 +6,10 @@ alternating large-star and small-star joins the links to components.
 3. Each class of a bucket is compared with the bucket's least class: first signatures, then, for what is left,
    full sets.
 4. Buckets whose classes are not all in one component by then are compared further, every pair of classes of
-   different components in blocks of bounded size; a pair belongs to its first common band alone. Rows of a
-   component that fills blocks of its own never meet each other again, nor do sets whose sizes alone rule a
-   link out. Only signatures, of fixed width, are dealt to blocks; pairs that pass are confirmed on full sets.
+   different components in pairs of blocks of bounded bytes; a pair belongs to its first common band alone. Rows
+   of a component that fills blocks of its own never meet each other again, nor do sets whose sizes alone rule a
+   link out. Signatures go first; full sets follow of classes that have a pair left. Candidates never leave their
+   task: it puts out at most one link less than it has classes.
 5. Components of all links; the least doc_id of a component is kept.
 
 Sets are kept of classes in buckets alone: a second pass over the texts, behind a bit table of bounded size,
@@ -39,8 +40,8 @@ from .shingles import WordHashes, shingles
 
 BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
-#: Classes of a bucket, by their signatures of 2 x HASHES bytes, that one task compares with as many others.
-BLOCK = 1024
+#: Shingles (8 bytes each) of a block of classes that one task compares with another block.
+BLOCK = 400_000
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -141,47 +142,69 @@ def _confirm(percent: int):
     return work
 
 
-def _compare(percent: int):
-    """For one pair of blocks of a bucket: pairs of different labels that may link."""
-    least = _least_equal(percent)
+def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one pair of blocks of a bucket: each row with those rows of other labels that may link to it."""
+    least, key, lo, hi = _least_equal(percent), table["key"][0].as_py(), table["lo"][0].as_py(), table["hi"][0].as_py()
+    sig, size, block = _signatures(table["sig"]), table["n"].to_numpy(), table["block"].to_numpy()
+    keys, ids = bands(sig), {}
+    label = np.array([ids.setdefault(x, len(ids)) for x in table["label"].to_pylist()])
+    band = int(np.flatnonzero(keys[0] == key)[0])
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    for at, i in enumerate(left.tolist()):
+        j = right[at + 1 :] if lo == hi else right
+        j = j[(label[j] != label[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
+        j = j[(sig[j] == sig[i]).sum(1) >= least]
+        j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
+        if len(j):
+            yield i, j
+
+
+def _some(percent: int):
+    """For one pair of blocks: its rows that have a candidate."""
+
+    def work(table: pa.Table) -> pa.Table:
+        hit = np.zeros(len(table), bool)
+        for i, j in _candidates(table, percent):
+            hit[i] = hit[j] = True
+        return table.select(["key", "lo", "hi", "block", "cid", "label"]).filter(pa.array(hit))
+
+    return work
+
+
+def _join_up(percent: int):
+    """For one pair of blocks: links, confirmed on full sets, that join what labels and earlier links have not joined."""
 
     def work(table: pa.Table) -> pa.Table:
-        names, key = table["cid"].to_pylist(), table["key"][0].as_py()
-        sig, size, block = _signatures(table["sig"]), table["n"].to_numpy(), table["block"].to_numpy()
-        keys, ids = bands(sig), {}
-        label = np.array([ids.setdefault(x, len(ids)) for x in table["label"].to_pylist()])
-        band = int(np.flatnonzero(keys[0] == key)[0])
-        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        a, b = [], []
-        for at, i in enumerate(left.tolist()):
-            j = right[at + 1 :] if lo == hi else right
-            j = j[(label[j] != label[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-            j = j[(sig[j] == sig[i]).sum(1) >= least]
-            for k in j[~(keys[j, :band] == keys[i, :band]).any(1)].tolist():
-                a.append(names[i])
-                b.append(names[k])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        names, items, found, roots = table["cid"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()], [], {}
+        root = np.array([roots.setdefault(x, len(roots)) for x in table["label"].to_pylist()])
+        for i, j in _candidates(table, percent):
+            for k in j.tolist():
+                if root[k] != root[i] and _linked(items[i], items[k], percent):
+                    found.append((names[i], names[k]))
+                    root[root == root[k]] = root[i]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return work
 
 
-def _blocks(rest: DataFrame, percent: int) -> DataFrame:
-    """rest (key, cid, label, n, sig) dealt to pairs of blocks: plus block, lo, hi, once for each pair of blocks that a row is in.
+def _blocks(rest: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """rest (key, cid, label, n) dealt to pairs of blocks: key, cid, label, block, lo, hi, once for each pair that a row is in.
 
-    A label with more than BLOCK rows in a bucket has blocks of its own, which are not paired with each other;
+    A label with more than BLOCK shingles in a bucket has blocks of its own, which are not paired with each other;
     the others share blocks. A block holds sizes of one range, and is paired with those of ranges next to it alone.
     """
     step = -math.log(percent / 100) * 1.001  # sizes that may link are less than a whole step apart
-    rest = rest.withColumn("range", F.floor(F.log("n") / step).cast("int"))
-    count = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    own = count.filter(F.col("c") > BLOCK).withColumnRenamed("label", "own").withColumn("label", F.col("own"))
-    shared = count.filter(F.col("c") <= BLOCK).groupBy("key").agg(F.sum("c").alias("m"))
-    block = F.when(F.col("own").isNotNull(), F.xxhash64(F.col("label"), F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / BLOCK)), F.col("range"))).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("label"), F.ceil(F.col("m") / BLOCK)), F.col("range")))
-    seats = rest.join(own, ["key", "label"], "left").join(shared, "key", "left").withColumn("block", block).select("key", "cid", "label", "own", "n", "sig", "range", "block")
-    other = seats.select(F.col("key").alias("k"), F.col("block").alias("o_block"), F.col("own").alias("o_own"), F.col("range").alias("o_range")).distinct()
-    meet = (F.col("key") == F.col("k")) & (F.abs(F.col("range") - F.col("o_range")) <= 1) & F.coalesce(F.col("own") != F.col("o_own"), F.lit(True))
-    return seats.join(other, meet).select("key", "cid", "label", "n", "sig", "block", F.least("block", "o_block").alias("lo"), F.greatest("block", "o_block").alias("hi"))
+    share = rest.groupBy("key", "label").agg(F.sum("n").alias("own"))
+    rows = share.filter(F.col("own") <= BLOCK).groupBy("key").agg(F.sum("own").alias("shared"))
+    parts = scratch.table(share.join(rows.hint("merge"), "key", "left").select("key", "label", (F.col("own") > BLOCK).alias("alone"), F.ceil(F.when(F.col("own") > BLOCK, F.col("own")).otherwise(F.col("shared")) / BLOCK).alias("parts")))
+    seats = rest.withColumn("range", F.floor(F.log("n") / step).cast("int")).join(parts.hint("merge"), ["key", "label"])
+    dealt = F.when(F.col("alone"), F.xxhash64("label", F.pmod(F.xxhash64("cid"), F.col("parts")), "range")).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("label"), F.col("parts")), F.col("range")))
+    seats = scratch.table(seats.select("key", "cid", "label", "range", F.when(F.col("alone"), F.col("label")).alias("owner"), dealt.alias("block")))
+    other = seats.select(F.col("key").alias("k"), F.col("block").alias("o_block"), F.col("owner").alias("o_owner"), F.col("range").alias("o_range")).distinct()
+    meet = (F.col("key") == F.col("k")) & (F.abs(F.col("range") - F.col("o_range")) <= 1) & F.coalesce(F.col("owner") != F.col("o_owner"), F.lit(True))
+    out = scratch.table(seats.join(other.hint("merge"), meet).select("key", "cid", "label", "block", F.least("block", "o_block").alias("lo"), F.greatest("block", "o_block").alias("hi")))
+    scratch.drop(parts, seats)
+    return out
 
 
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -215,10 +238,12 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     # buckets that still hold several components; in those of two, the one pair is settled
     at = members.filter("in_bucket > 2").join(label.select(F.col("node").alias("cid"), F.col("component").alias("label")), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     open_ = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1")).select("key")
-    rest = scratch.table(at.join(open_, "key").join(full.select("cid", "n", "sig"), "cid"))
-    work = _blocks(rest, percent).groupBy("key", "lo", "hi").applyInArrow(_compare(percent), "a binary, b binary")
-    more = confirmed(scratch.table(work))
-    scratch.drop(rest, links)
+    rest = scratch.table(at.join(open_.hint("merge"), "key").join(full.select("cid", "n"), "cid"))
+    dealt = _blocks(rest, percent, scratch)
+    some = dealt.join(full.select("cid", "n", "sig"), "cid").groupBy("key", "lo", "hi").applyInArrow(_some(percent), "key long, lo long, hi long, block long, cid binary, label binary")
+    some = scratch.table(some)
+    more = scratch.table(some.join(full.select("cid", "n", "sig", "items"), "cid").groupBy("key", "lo", "hi").applyInArrow(_join_up(percent), "a binary, b binary"))
+    scratch.drop(rest, links, dealt, some)
     first, label = label, connected_components(more.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     named = classes.select("cid", "doc").join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
