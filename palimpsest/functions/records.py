@@ -6,20 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def live_value(value: str = "value", deleted: str = "deleted") -> Column:
+def live_value(value: str | Column = "value", deleted: str | Column = "deleted") -> Column:
     """The value of a put, null for a delete."""
-    return F.when(~F.col(deleted), F.col(value))
-
-
-def value_length(value: str = "value", deleted: str = "deleted") -> Column:
-    """Bytes of the value; 0 for a delete."""
-    return F.coalesce(F.octet_length(live_value(value, deleted)), F.lit(0))
+    value, deleted = (F.col(x) if isinstance(x, str) else x for x in (value, deleted))
+    return F.when(~deleted, value)
 
 
 def content_hash(data: str | Column) -> Column:
     return F.sha2(data, 256)
-
-
-def overlaps(first_a, last_a, first_b, last_b) -> Column:
-    """Whether two ranges, both ends included, meet."""
-    return (F.col(last_a) >= F.col(first_b)) & (F.col(first_a) <= F.col(last_b))

@@ -22,13 +22,14 @@ FILE_MAP = T.StructType().add("file_id", "long").add("chunk_no", "integer").add(
 
 @dataclass(frozen=True)
 class Options:
-    """Sizes in bytes. Defaults follow the store whose behaviour this one matches."""
+    """Sizes in bytes. Defaults follow the store whose behaviour this one matches.
+
+    There is no number of flush workers, as a flush is one Spark job of many tasks, and no switch to sync pending
+    writes, as each batch of them is one whole new file."""
 
     block_size: int = 4096
     memtable_size: int = 8 << 20
-    num_flush_jobs: int = 2
     max_l0_runs: int = 4
-    durable_wal: bool = False  # every commit is a whole new file, so there is nothing to sync
     base_level_size: int = 10 << 20
     level_multiplier: int = 10
     bloom_fpp: float = 0.001

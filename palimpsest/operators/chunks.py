@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.records import content_hash
+
 CHUNK = 4096
 
 
@@ -19,7 +21,7 @@ def fixed(files: DataFrame, file_id: str, data: str, size: int = CHUNK) -> DataF
     cut = files.filter(F.octet_length(raw) > 0).select(F.col(file_id).alias("file_id"), raw.alias("raw"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     piece = F.substring(F.col("raw"), F.col("chunk_no") * size + 1, F.lit(size))
     out = cut.select("file_id", "chunk_no", piece.alias("bytes"))
-    return out.select("file_id", "chunk_no", F.sha2("bytes", 256).alias("hash"), F.octet_length("bytes").alias("n_bytes"), "bytes")
+    return out.select("file_id", "chunk_no", content_hash("bytes").alias("hash"), F.octet_length("bytes").alias("n_bytes"), "bytes")
 
 
 def cut_points(data: bytes, least: int = 1024, mean_bits: int = 12, most: int = 16384) -> list[int]:
@@ -43,18 +45,18 @@ def cut_points(data: bytes, least: int = 1024, mean_bits: int = 12, most: int =
 def content_defined(files: DataFrame, file_id: str, data: str) -> DataFrame:
     """Like fixed(), cut where the content says so: an insertion moves few cuts."""
 
+    names, kinds = ["file_id", "chunk_no", "bytes"], (pa.int64(), pa.int32(), pa.binary())
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for file, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                start = 0
-                for k, end in enumerate(cut_points(raw or b"")):
-                    rows.append((file, k, raw[start:end]))
-                    start = end
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["file_id", "chunk_no", "bytes"])
+            for file, raw in zip(*b.columns):  # one file at a time
+                data = raw.as_py() or b""
+                ends = cut_points(data)
+                cols = ([file.as_py()] * len(ends), range(len(ends)), [data[a:z] for a, z in zip([0, *ends], ends)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
     cut = files.select(F.col(file_id).cast("long"), F.col(data).cast("binary")).mapInArrow(work, "file_id long, chunk_no int, bytes binary")
-    return cut.select("file_id", "chunk_no", F.sha2("bytes", 256).alias("hash"), F.octet_length("bytes").alias("n_bytes"), "bytes")
+    return cut.select("file_id", "chunk_no", content_hash("bytes").alias("hash"), F.octet_length("bytes").alias("n_bytes"), "bytes")
 
 
 def dedup(chunks: DataFrame) -> DataFrame:
@@ -72,11 +74,18 @@ def file_map(chunks: DataFrame) -> DataFrame:
     return chunks.select("file_id", "chunk_no", "hash", "n_bytes")
 
 
+_IN_ORDER = "listagg(bytes) within group (order by chunk_no)"
+
+
 def reassemble(files: DataFrame, store: DataFrame) -> DataFrame:
-    """file_id, bytes: chunks in order, joined by hash. A group is one file, as long as that file."""
-    parts = files.join(store.select("hash", "bytes"), "hash")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", F.hex("bytes").alias("hex")))), lambda x: x["hex"]), "")
-    return parts.groupBy("file_id").agg(F.unhex(joined).alias("bytes"))
+    """file_id, bytes: chunks in order, joined by hash. A row holds a whole file; pieces() has no such limit."""
+    return files.join(store.select("hash", "bytes"), "hash").groupBy("file_id").agg(F.expr(_IN_ORDER).alias("bytes"))
+
+
+def pieces(files: DataFrame, store: DataFrame, n_chunks: int = 1024) -> DataFrame:
+    """file_id, piece, bytes: like reassemble(), in pieces of n_chunks chunks, so no row grows with its file."""
+    parts = files.join(store.select("hash", "bytes"), "hash").withColumn("piece", F.floor(F.col("chunk_no") / n_chunks).cast("int"))
+    return parts.groupBy("file_id", "piece").agg(F.expr(_IN_ORDER).alias("bytes"))
 
 
 def segment(files: DataFrame, store: DataFrame, first: int, last: int) -> DataFrame:

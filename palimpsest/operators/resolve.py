@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def merge_runs(runs: Sequence[DataFrame], key="key", seq="seq") -> DataFrame:
     return latest(reduce(DataFrame.unionByName, runs), key, seq)
 
 
-def snapshot(df: DataFrame, upto: int, key="key", seq="seq", deleted="deleted") -> DataFrame:
+def snapshot(df: DataFrame, upto: int | Column, key="key", seq="seq", deleted="deleted") -> DataFrame:
     """The live rows as of seq `upto`."""
     return resolve(df.filter(F.col(seq) <= upto), key, seq, deleted)
 

@@ -152,5 +152,5 @@ def manifest_fold(manifest: DataFrame) -> DataFrame:
 
 def valid_prefix(log: DataFrame, corrupt: Column, seq: str = "seq") -> DataFrame:
     """The rows before the first corrupt one."""
-    first = log.filter(corrupt).agg(F.min(seq).alias("m")).first()["m"]
-    return log if first is None else log.filter(F.col(seq) < first)
+    first = log.filter(corrupt).agg(F.min(seq).alias("__first"))  # one row
+    return log.crossJoin(F.broadcast(first)).filter(F.col("__first").isNull() | (F.col(seq) < F.col("__first"))).drop("__first")

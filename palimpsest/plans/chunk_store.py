@@ -23,6 +23,7 @@ class ChunkStore:
 
     def __init__(self, table: KVTable):
         self.table = table
+        table.users.add(self)
 
     def insert(self, key: bytes, chunk: bytes | TargetChunk) -> None:
         self.insert_multi([(key, chunk)])
@@ -71,8 +72,20 @@ class ChunkStore:
             raise KeyError(f"chunks not found: {gone}")
         return chunks.reassemble(files, store)
 
+    def read_pieces(self, files: DataFrame, n_chunks: int = 1024) -> DataFrame:
+        """file_id, piece, bytes: files of any length, in pieces of `n_chunks` chunks; KeyError if a chunk is missing."""
+        store = self.chunks()
+        gone = chunks.missing(files, store).limit(5).collect()
+        if gone:
+            raise KeyError(f"chunks not found: {gone}")
+        return chunks.pieces(files, store, n_chunks)
+
     def read_segment(self, files: DataFrame, first: int, last: int) -> DataFrame:
         return chunks.segment(files, self.chunks(), first, last)
 
     def close(self) -> None:
+        """Closes the table; RuntimeError while another store is open on it."""
+        if any(x is not self for x in self.table.users):
+            raise RuntimeError("the table is still in use")
+        self.table.users.discard(self)
         self.table.close()

@@ -10,7 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.records import live_value
+from ..model import Options
 from ..operators import chunks, compaction, lookup, resolve, stats
+from ..sources.files import workspace
+from ..streaming.upsert import upsert_stream
+from .chunk_store import ChunkStore
+from .table import KVTable
 
 KV = {"key": "k", "seq": "seq", "deleted": "del"}
 
@@ -21,10 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    n = (orders.agg(F.max("o_orderkey").alias("m")).first()["m"] or 0) + 1
+    n = orders.agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("n"))  # one row
     dead = F.col("o_orderstatus") == "F"
-    value = F.when(dead, F.lit(None)).when(F.col("o_orderkey") % 10 == 0, F.lit("")).otherwise(F.col("o_orderpriority"))
-    return orders.select(F.col("o_custkey").cast("string").alias("k"), F.col("o_orderkey").alias("seq"), dead.alias("del"), value.alias("v"), F.expr(f"cast((o_orderkey * 20) div {n} as int)").alias("tier"))
+    value = live_value(F.when(F.col("o_orderkey") % 10 == 0, F.lit("")).otherwise(F.col("o_orderpriority")), dead)
+    rows = orders.crossJoin(F.broadcast(n))
+    return rows.select(F.col("o_custkey").cast("string").alias("k"), F.col("o_orderkey").alias("seq"), dead.alias("del"), value.alias("v"), F.expr("cast((o_orderkey * 20) div n as int)").alias("tier"))
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -69,9 +76,11 @@ def kv_snapshot_asof(spark, d):
     return live(kv(spark, d).filter("tier < 14"))
 
 
-@query(f"SELECT * FROM {_r(where='seq <= 7000')}")
+@query(f"SELECT * FROM {_r(where='seq <= (SELECT max(seq) // 2 FROM kv)')}")
 def kv_snapshot_seq(spark, d):
-    return resolve.snapshot(kv(spark, d), 7000, **KV).select("k", "v", "seq")
+    df = kv(spark, d)
+    half = df.crossJoin(F.broadcast(df.agg(F.expr("max(seq) div 2").alias("half"))))
+    return resolve.snapshot(half, F.col("half"), **KV).select("k", "v", "seq")
 
 
 @query(f"SELECT k, v FROM {_r()} WHERE length(v) > 0")
@@ -119,23 +128,24 @@ def kv_contains_batch(spark, d):
     return lookup.contains_batch(kv(spark, d), probe(spark, ["7", "nope", "13"]), **KV).select("k", "present")
 
 
-_PROBES = "(SELECT DISTINCT k FROM kv WHERE CAST(k AS int) % 3 = 0)"
+_PROBES = "(SELECT k FROM kv UNION SELECT CAST(c_custkey AS varchar) FROM customer)"
 
 
-def _thirds(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("k").cast("int") % 3 == 0).select("k").distinct()
+def _probes(spark, d) -> DataFrame:
+    """Every key of the log and of customer: customers without orders are absent."""
+    return kv(spark, d).select("k").union(table(spark, d, "customer").select(F.col("c_custkey").cast("string"))).distinct()
 
 
 @query(f"SELECT k FROM {_PROBES} p WHERE NOT EXISTS (SELECT 1 FROM {_r()} r WHERE r.k = p.k)")
 def kv_probe_miss(spark, d):
     df = kv(spark, d)
-    return lookup.absent(df, _thirds(df), **KV)
+    return lookup.absent(df, _probes(spark, d), **KV)
 
 
 @query(f"SELECT k FROM {_PROBES} p WHERE EXISTS (SELECT 1 FROM {_r()} r WHERE r.k = p.k)")
 def kv_probe_semi(spark, d):
     df = kv(spark, d)
-    return lookup.present(df, _thirds(df), **KV)
+    return lookup.present(df, _probes(spark, d), **KV)
 
 
 @query(f"SELECT * FROM {_r()} WHERE k >= '55' ORDER BY k LIMIT 1")
@@ -148,13 +158,6 @@ def kv_range_scan(spark, d):
     return lookup.range_scan(kv(spark, d), "2", "3", **KV).select("k", "v", "seq")
 
 
-@query("""SELECT p.k, max(b.first_key) AS first_key FROM (VALUES ('55'), ('0'), ('999'), ('7x')) p(k)
-JOIN (SELECT tier, k AS first_key FROM kv WHERE seq % 50 = 0) b ON b.first_key <= p.k GROUP BY p.k""")
-def kv_sparse_index_lookup(spark, d):
-    blocks = kv(spark, d).filter("seq % 50 = 0").select(F.col("k").alias("first_key"))
-    return lookup.block_of(blocks, probe(spark, ["55", "0", "999", "7x"]).select("k"), "k", "first_key")
-
-
 @query(f""", src AS (SELECT k, seq, del, v FROM kv UNION ALL SELECT DISTINCT k, CAST(1000000000 AS bigint), true, CAST(NULL AS varchar) FROM kv WHERE CAST(k AS int) % 7 = 0) SELECT * FROM {_r('src')}""")
 def kv_delete_batch(spark, d):
     df = kv(spark, d).drop("tier")
@@ -177,14 +180,12 @@ def kv_run_meta(spark, d):
     return stats.run_meta(kv(spark, d), "tier", "k", "v", "del")
 
 
-@query(""", m AS (SELECT tier, min(k) AS lo, max(k) AS hi FROM kv WHERE tier < 17 AND length(k) < 3 GROUP BY tier),
+@query(""", m AS (SELECT tier, min(k) AS lo, max(k) AS hi FROM kv WHERE tier < 18 GROUP BY tier),
 src AS (SELECT min(lo) AS lo, max(hi) AS hi FROM m WHERE tier >= 14)
 SELECT m.tier FROM m, src WHERE m.tier BETWEEN 8 AND 13 AND m.hi >= src.lo AND m.lo <= src.hi""")
 def kv_run_overlap(spark, d):
-    meta = stats.run_meta(kv(spark, d).filter("tier < 17 and length(k) < 3"), "tier", "k", "v", "del").collect()  # one row a run
-    runs = [compaction.Run(r["tier"], 0 if r["tier"] >= 14 else 1, r["first_key"].encode(), r["last_key"].encode(), r["n_bytes"]) for r in meta if r["tier"] >= 8]
-    from ..model import Options
-
+    meta = stats.run_meta(kv(spark, d), "tier", "k", "v", "del").collect()  # one row a run
+    runs = [compaction.Run(r["tier"], 0 if r["tier"] >= 14 else 1 if r["tier"] >= 8 else 2, r["first_key"].encode(), r["last_key"].encode(), r["n_bytes"]) for r in meta if r["tier"] < 18]
     task = compaction.pick(runs, Options(max_l0_runs=1))
     return spark.createDataFrame([(r.id,) for r in (task.targets if task else ())], "tier int")
 
@@ -221,10 +222,28 @@ def kv_memtable_rollover(spark, d):
     return _groups(stats.memtable_rollover(kv(spark, d).select("seq", _size().alias("size")), "seq", 8192), "seq")
 
 
-@query(_FOLD.format(cte=_REC, order="k", extra=17, src=_r(), header=8, full="f.cur + x.sz > 4096"), cte=False)
-def kv_block_packing(spark, d):
+def _packed(spark, d) -> DataFrame:
     sizes = live(kv(spark, d)).select("k", (_size() + stats.ENTRY_HEADER).alias("size"))
-    return _groups(stats.pack_blocks(sizes, "k", 4096), "k")
+    return stats.pack_blocks(sizes, "k", 4096)
+
+
+_BLOCKS = _FOLD.format(cte=_REC, order="k", extra=17, src=_r(), header=8, full="f.cur + x.sz > 4096")
+
+
+@query(_BLOCKS, cte=False)
+def kv_block_packing(spark, d):
+    return _groups(_packed(spark, d), "k")
+
+
+@query(_BLOCKS.replace("SELECT g AS grp, count(*) AS n_rows, CAST(sum(sz) AS bigint) AS n_bytes, min(o) AS lo, max(o) AS hi", "SELECT g AS grp, min(o) AS first_key, max(o) AS last_key, count(*) AS n_rows"), cte=False)
+def kv_block_index(spark, d):
+    return stats.block_index(_packed(spark, d), ["grp"], "k")
+
+
+@query(_BLOCKS.replace("SELECT g AS grp, count(*) AS n_rows, CAST(sum(sz) AS bigint) AS n_bytes, min(o) AS lo, max(o) AS hi FROM f GROUP BY g", f", b AS (SELECT min(o) AS first_key FROM f GROUP BY g) SELECT p.k, max(first_key) AS first_key FROM {_PROBES} p JOIN b ON first_key <= p.k GROUP BY p.k"), cte=False)
+def kv_sparse_index_lookup(spark, d):
+    """For every probe, the block of the packed live run that may hold it; none before the first block."""
+    return lookup.block_of(stats.block_index(_packed(spark, d), ["grp"], "k"), _probes(spark, d), "k", "first_key")
 
 
 @query("SELECT k, v, del, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM kv WHERE tier BETWEEN 8 AND 17) WHERE rn = 1")
@@ -270,9 +289,11 @@ def kv_next_id(spark, d):
     return stats.next_id(_manifest(spark), "id")
 
 
-@query("SELECT k, seq FROM kv WHERE seq < coalesce((SELECT min(seq) FROM kv WHERE seq % 4999 = 4998), 9223372036854775807)")
+@query("SELECT k, seq FROM kv WHERE seq < coalesce((SELECT min(seq) FROM kv WHERE seq % 7 = 3 AND seq > (SELECT max(seq) * 2 // 3 FROM kv)), 9223372036854775807)")
 def kv_wal_valid_prefix(spark, d):
-    return stats.valid_prefix(kv(spark, d), F.col("seq") % 4999 == 4998).select("k", "seq")
+    df = kv(spark, d)
+    marked = df.crossJoin(F.broadcast(df.agg(F.expr("max(seq) * 2 div 3").alias("late"))))
+    return stats.valid_prefix(marked, (F.col("seq") % 7 == 3) & (F.col("seq") > F.col("late"))).select("k", "seq")
 
 
 @query("SELECT DISTINCT tier AS wal_id FROM kv WHERE tier NOT IN (SELECT tier FROM kv WHERE tier < 18)")
@@ -296,17 +317,7 @@ def ev_latest_by_user(spark, d):
 @query(_EVENTS, cte=False)
 def ev_stream_upsert(spark, d):
     """The same through a stream: micro-batches go to a table in the shared folder, which is then read."""
-    import uuid
-
-    from ..streaming.upsert import upsert_stream
-    from .table import KVTable
-
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        import tempfile
-
-        conf = tempfile.mkdtemp(prefix="palimpsest-")
-    base = f"{conf.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = workspace(spark, "stream")
     source = spark.read.parquet(f"{d}/events.parquet")
     events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     rows = events.select(F.col("user_id").cast("string").cast("binary").alias("key"), F.col("event_type").cast("binary").alias("value"), (F.col("event_type") == "error").alias("deleted"), F.col("event_id").alias("seq"))
@@ -362,3 +373,100 @@ def doc_strict_multiget(spark, d):
 @query(None)
 def doc_chunk_content_defined(spark, d):
     return chunks.file_map(chunks.content_defined(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def _records(df: DataFrame) -> DataFrame:
+    return df.select(F.col("k").cast("binary").alias("key"), F.col("v").cast("binary").alias("value"), F.col("del").alias("deleted"), "seq")
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select(F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
+
+
+_WRITTEN, _DELETED = [("7", "x"), ("new", "y"), ("7", "z"), ("1006", "back"), ("gone", "w")], ["13", "gone", "never"]
+_AT = 10**9
+_API = (
+    ", src AS (SELECT k, seq, del, v FROM kv UNION ALL SELECT * FROM (VALUES "
+    + ", ".join([f"('{k}', CAST({_AT + i} AS bigint), false, '{v}')" for i, (k, v) in enumerate(_WRITTEN)] + [f"('{k}', CAST({_AT + 100 + i} AS bigint), true, NULL)" for i, k in enumerate(_DELETED)])
+    + ") b(k, seq, del, v))"
+)
+
+
+def _stored(spark, d) -> KVTable:
+    """The log as a stored table: runs of four tiers each are appended, and compacted as they come; then batches of writes and
+    deletes through the log of pending writes, a flush, a vacuum, and a second handle."""
+    t = KVTable(spark, workspace(spark, "table"), Options(max_l0_runs=2))
+    log = kv(spark, d)
+    for first in range(0, 20, 4):
+        t.append(_records(log.filter(F.col("tier").between(first, first + 3))))
+        t.compact_all()
+    t.insert_batch([(k.encode(), v.encode()) for k, v in _WRITTEN])
+    t.delete_batch([k.encode() for k in _DELETED])
+    t = KVTable(spark, t.files.base, t.options)  # pending writes come back from their log
+    t.force_flush()
+    t.vacuum()
+    return KVTable.open(spark, t.files.base, read_only=True)
+
+
+@query(f"{_API} SELECT k, v FROM {_r('src')}")
+def kv_table_scan(spark, d):
+    return _rows(_stored(spark, d).scan())
+
+
+@query(f"{_API} SELECT k, v FROM {_r('src')} WHERE k BETWEEN '10' AND '2'")
+def kv_table_range(spark, d):
+    return _rows(_stored(spark, d).range(b"10", b"2"))
+
+
+@query(f"{_API} SELECT p.pos, p.k, r.v FROM (VALUES (0, '7'), (1, 'gone'), (2, 'new'), (3, '7'), (4, '13'), (5, '1006'), (6, '1004'), (7, '')) p(pos, k) LEFT JOIN {_r('src')} r ON p.k = r.k")
+def kv_table_get_batch(spark, d):
+    keys = ["7", "gone", "new", "7", "13", "1006", "1004", ""]
+    got = _stored(spark, d).get_batch([k.encode() for k in keys])
+    return spark.createDataFrame([(i, k, v if v is None else v.decode()) for i, (k, v) in enumerate(zip(keys, got))], "pos int, k string, v string")
+
+
+@query(f"SELECT 1 AS version, k, v FROM {_r(where='tier < 10')} UNION ALL SELECT 2, k, v FROM {_r()}")
+def kv_table_versions(spark, d):
+    """A table as of an older version and as of the last."""
+    t, log = KVTable(spark, workspace(spark, "table"), Options(auto_compact=False)), kv(spark, d)
+    t.append(_records(log.filter("tier < 10")))
+    t.append(_records(log.filter("tier >= 10")))
+    return _rows(t.scan(version=1)).select(F.lit(1).alias("version"), "k", "v").union(_rows(t.scan()).select(F.lit(2), "k", "v"))
+
+
+@query("SELECT max(tier // 5) + 2 AS next_id, count(DISTINCT tier // 5) AS n_runs, CAST(count(*) AS bigint) AS n_rows, CAST(sum(CASE WHEN del THEN 1 ELSE 0 END) AS bigint) AS n_deletes FROM kv")
+def kv_table_manifest(spark, d):
+    """What a second handle folds out of the commit log: the runs appended, by their entries in it."""
+    t, log = KVTable(spark, workspace(spark, "table"), Options(auto_compact=False)), kv(spark, d)
+    for part in range(4):
+        t.append(_records(log.filter(F.expr("tier div 5") == part)))
+    t = KVTable.open(spark, t.files.base, read_only=True)
+    live = stats.manifest_fold(t.manifest().select("version", F.lit("add").alias("action"), F.explode("add").alias("id")).withColumn("level", F.lit(0)))
+    entries = spark.createDataFrame([(r.id, r.n_rows, r.n_deletes) for r in t.live.values()], "id long, n_rows long, n_deletes long")
+    total = live.join(entries, "id").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n_rows").alias("n_rows"), F.sum("n_deletes").alias("n_deletes"))
+    return stats.next_id(live, "id").crossJoin(total)
+
+
+@query(_CHUNKS + ", gone AS (SELECT min(hash) AS hash FROM chunks) SELECT (SELECT count(*) FROM chunks WHERE hash = (SELECT hash FROM gone)) AS n_missing, true AS refused, count(DISTINCT hash) - 1 AS n_stored FROM chunks", cte=False)
+def doc_store_strict(spark, d):
+    """A chunk store of all documents that has lost a chunk: what a strict read misses, that it refuses, and what is left."""
+    t = KVTable(spark, workspace(spark, "chunks"))
+    store = ChunkStore(t)
+    files = store.write_files(table(spark, d, "documents"), "doc_id", "text")
+    gone = files.agg(F.min("hash").alias("hash")).first()["hash"].encode()
+    t.delete(gone)
+    refused = False
+    try:
+        store.get_multi([gone])
+    except KeyError:
+        refused = True
+    missing = chunks.missing(files, store.chunks()).agg(F.count(F.lit(1)).alias("n_missing"), F.lit(refused).alias("refused"))
+    return missing.crossJoin(store.chunks().agg(F.count(F.lit(1)).alias("n_stored")))
+
+
+@query("SELECT doc_id AS file_id, sha256(text) AS hash FROM documents WHERE strlen(text) > 0", cte=False)
+def doc_store_read(spark, d):
+    """Documents written to a chunk store and read back through a second handle."""
+    path = workspace(spark, "chunks")
+    files = ChunkStore(KVTable(spark, path)).write_files(table(spark, d, "documents"), "doc_id", "text")
+    return ChunkStore(KVTable.open(spark, path, read_only=True)).read_files(files).select("file_id", F.sha2("bytes", 256).alias("hash"))

@@ -2,18 +2,19 @@
 
 Writes are buffered, logged at once, and cut into level-0 runs; reads take one version of the run list and
 merge it with the buffer. Each commit is one new file, so a reader never sees half of it, and a crash leaves
-at most files that vacuum() deletes. One writer at a time; a second one fails with FileExistsError.
+at most files that vacuum() deletes. Opening reads the last snapshot of the log and the commits since. One writer at a time; a second one fails with FileExistsError.
 """
 
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import KV_LOG, Options, checked_keys, entry_bytes
+from ..model import KV_LOG, Options, checked_keys
 from ..operators import compaction, lookup, resolve
 from ..sources import log, runs
 from ..sources.files import Files
@@ -28,13 +29,19 @@ class KVTable:
                 raise FileNotFoundError(path)
             self.files.mkdirs()
             log.commit(self.files, 0, action="create", seq=0)
-        history = log.commits(self.files)
-        self.version, self.live = len(history) - 1, log.fold(history)
-        self.flushed = max((c.get("seq", 0) for c in history), default=0)
-        self.pending: list[log.Mutation] = log.replay_pending(self.files, self.flushed)
-        self.seq = max([self.flushed, *(r[3] for r in self.pending)])
+        self.state = log.load(self.files)
+        self.pending: list[log.Mutation] = log.replay_pending(self.files, self.state.flushed)
+        self.seq = max([self.state.flushed, *(r[3] for r in self.pending)])
         self.estimate = sum(len(k) + len(v or b"") for k, v, _, _ in self.pending)
-        self.next_run = max((r["id"] for c in history for r in c["add"]), default=0) + 1
+        self.users: weakref.WeakSet = weakref.WeakSet()
+
+    @property
+    def version(self) -> int:
+        return self.state.version
+
+    @property
+    def live(self) -> dict[int, compaction.Run]:
+        return self.state.live
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options | None = None, read_only: bool = False) -> KVTable:
@@ -75,39 +82,41 @@ class KVTable:
         `extra` goes into the commit. Rows with an empty or null key are an error and commit nothing."""
         self._writable()
         self.force_flush()
-        name, id_ = self._run_name(0), self.next_run
         checked = df.withColumn("key", F.when(F.octet_length("key") > 0, F.col("key")).otherwise(F.raise_error(F.lit("keys must not be empty"))))
-        runs.write_run(self.files, checked, name, self.options)
-        self._publish(runs.describe(self.spark, self.files, name, id_, 0), [], "append", **extra)
+        self._publish(self._write_run(checked, 0), [], "append", **extra)
 
     def force_flush(self) -> None:
         """Commits what is pending as a level-0 run; nothing to do if there is none."""
         if not self.pending:
             return
         self._writable()
-        name, id_ = self._run_name(0), self.next_run
-        runs.write_run(self.files, self._buffer(), name, self.options, 1)
-        self._publish(runs.describe(self.spark, self.files, name, id_, 0), [], "flush")
+        self._publish(self._write_run(self._buffer(), 0, 1), [], "flush")
         self.pending, self.estimate = [], 0
         log.drop_pending(self.files, self.seq)
-        while self.options.auto_compact and self.compact():
-            pass
+        self.compact_all()
 
-    def _run_name(self, level: int) -> str:
-        """A folder that no other writer has, dead or alive: what loses its commit is debris for vacuum()."""
-        return f"runs/L{level}-{self.next_run}/attempt={uuid.uuid4().hex}"
+    def _write_run(self, df: DataFrame, level: int, partitions: int | None = None) -> compaction.Run | None:
+        """In a folder that no other writer has, dead or alive: what loses its commit is debris for vacuum()."""
+        id_ = self.state.next_run
+        return runs.write_run(self.files, df, f"runs/L{level}-{id_}/attempt={uuid.uuid4().hex}", self.options, id_, level, partitions)
 
     def _publish(self, run: compaction.Run | None, remove: list[int], action: str, **extra) -> None:
-        add = [run] if run else []
-        new_flushed = max([self.flushed, *(r.max_seq for r in add)]) if action != "compact" else self.flushed
-        if action == "flush":
-            new_flushed = self.seq
-        log.commit(self.files, self.version + 1, add, remove, action=action, seq=new_flushed, **extra)
-        self.version, self.flushed, self.seq = self.version + 1, new_flushed, max(self.seq, new_flushed)
-        self.next_run += 1
-        for i in remove:
-            self.live.pop(i)
-        self.live |= {r.id: r for r in add}
+        flushed = self.seq if action == "flush" else max(self.state.flushed, run.max_seq if run and action != "compact" else 0)
+        self.state.apply(log.commit(self.files, self.version + 1, [run] if run else [], remove, action=action, seq=flushed, **extra))
+        log.snapshot(self.files, self.state)
+        self.seq = max(self.seq, flushed)
+
+    def refresh(self) -> None:
+        """Takes over what other handles have committed since."""
+        log.refresh(self.files, self.state)
+        self.seq = max(self.seq, self.state.flushed)
+
+    def compact_all(self) -> int:
+        """Runs compactions until none is due, if the options allow it; returns how many."""
+        n = 0
+        while self.options.auto_compact and self.compact():
+            n += 1
+        return n
 
     def compact(self) -> bool:
         """Runs one compaction if one is due. Inputs stay on disk for readers of older versions until vacuum()."""
@@ -117,10 +126,7 @@ class KVTable:
         self._writable()
         frames = [self._read([r]) for r in task.inputs]
         out = compaction.compact(frames, compaction.may_drop_deletes(task, [*self.live.values()]))
-        level, id_ = task.source_level + 1, self.next_run
-        name = self._run_name(level)
-        runs.write_run(self.files, out, name, self.options)
-        self._publish(runs.describe(self.spark, self.files, name, id_, level), [r.id for r in task.inputs], "compact")
+        self._publish(self._write_run(out, task.source_level + 1), [r.id for r in task.inputs], "compact")
         return True
 
     def vacuum(self) -> list[str]:
@@ -153,7 +159,7 @@ class KVTable:
 
     def log(self, low: bytes | None = None, high: bytes | None = None, version: int | None = None) -> DataFrame:
         """All mutations of the current or an older version, of runs that meet [low, high] only. Older versions need their runs still on disk."""
-        live = [*(self.live if version is None else log.fold(log.commits(self.files, version))).values()]
+        live = [*(self.live if version is None else log.load(self.files, version).live).values()]
         some = [r for r in live if (low is None or r.last_key >= low) and (high is None or r.first_key <= high)]
         out = self._read(some)
         return out.unionByName(self._buffer()) if version is None and self.pending else out
@@ -197,4 +203,5 @@ class KVTable:
         return self.estimate
 
     def stored_bytes(self) -> int:
-        return self.log().agg(F.sum(entry_bytes()).alias("b")).first()["b"] or 0
+        """Bytes of keys and values of all runs and of what is pending; the manifest has those of runs."""
+        return sum(r.entry_bytes for r in self.live.values()) + self.estimate

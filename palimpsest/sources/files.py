@@ -2,9 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a driver that is its own executor may do without."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = tempfile.mkdtemp(prefix="palimpsest-")
+        spark.conf.set("spark.checkpoint.dir", conf)
+    return conf.rstrip("/")
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def close() -> None:
+        with contextlib.suppress(Exception):
+            Files(spark, path).delete("")
+
+    atexit.register(close)
+    return path
+
+
 class Files:
     def __init__(self, spark: SparkSession, base: str):
         self.jvm, self.conf, self.base = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), base.rstrip("/")
@@ -29,6 +58,9 @@ class Files:
             self.fs.delete(self._path(part), False)
             raise FileExistsError(name)
 
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
     def read(self, name: str) -> bytes:
         stream = self.fs.open(self._path(name))
         try:
@@ -42,6 +74,7 @@ class Files:
         return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(folder)) if not x.getPath().getName().endswith(".part"))
 
     def size(self, folder: str) -> int:
+        """Bytes of all files in the folder."""
         return self.fs.getContentSummary(self._path(folder)).getLength()
 
     def delete(self, name: str) -> None:

@@ -7,19 +7,17 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.resolve import latest
 from ..plans.table import KVTable
-from ..sources import log
 
 
 def apply_batch(table: KVTable, batch: DataFrame, query: str, batch_id: int) -> bool:
     """Appends a micro-batch of key, value, deleted, seq; False if the table has it already.
 
     seq must come from the source (an offset or an event id), so that late rows lose to newer ones."""
-    done = {(c.get("query"), c.get("batch")) for c in log.commits(table.files)}
-    if (query, batch_id) in done:
+    table.refresh()  # reads commits since the last batch alone
+    if batch_id <= table.state.batches.get(query, -1):  # a stream's batches come in order
         return False
     table.append(latest(batch), query=query, batch=batch_id)
-    if table.options.auto_compact:
-        table.compact()
+    table.compact_all()
     return True
 
 
