@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -14,16 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a driver that is its own executor may do without."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        conf = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
+from ..sources.files import shared_dir
 
 
 #: Rows, and bytes (but for one longer row), of a batch that goes to Python.
