@@ -69,6 +69,14 @@ f AS ({" UNION ALL ".join(_places(*x) for x in PHRASES)}),
 g AS (SELECT id, count(*) AS n, min(p) AS a, max(p) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM f GROUP BY id)
 SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels FROM d LEFT JOIN g USING (id)"""
 
+# crc32 by its definition: a table from the polynomial, then byte by byte
+SHARDS = """WITH tbl AS (SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, [CAST('0x' || x AS bigint) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS bytes, coalesce(CAST(doc_id AS varchar), 'null') AS k FROM documents),
+c AS (SELECT doc_id, size, k, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tbl),
+h AS (SELECT *, [CAST('0x' || substr(md5(k || ':' || i), 1, 13) AS bigint) FOR i IN range(9)] AS u FROM c),
+s AS (SELECT *, CAST(list_position(u[1:8], list_max(u[1:8])) - 1 AS int) AS shard, CAST(list_position(u, list_max(u)) - 1 AS int) AS grown_shard FROM h)
+SELECT doc_id, CAST(size AS bigint) AS size, CAST(text_crc32 AS bigint) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k || '/' || text_crc32), 1, 3), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
+
 RESCAN = f"""WITH one AS (SELECT count(DISTINCT coalesce(text, '')) AS n FROM documents),
 two AS (SELECT count(DISTINCT t) AS n FROM (SELECT coalesce(text, '') AS t FROM documents UNION ALL SELECT coalesce(text, '') || ' edited' FROM documents))
 SELECT 1 AS scan, {len(_SECRETS)} * n AS n_pairs FROM one UNION ALL SELECT 2, 0 UNION ALL SELECT 3, {len(_SECRETS)} * (two.n - one.n) FROM one, two UNION ALL SELECT 4, n FROM two"""
