@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..sources.files import shared_dir
 
-
 #: Rows, and bytes (but for one longer row), of a batch that goes to Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -28,6 +27,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, str(BATCH_BYTES))
 
 
+_open: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def tidy() -> Iterator[None]:
+    """Deletes at its end what operators called inside have left in the shared folder: results must be written elsewhere by then."""
+    n = len(_open)
+    yield
+    while len(_open) > n:
+        scratch = _open.pop()
+        atexit.unregister(scratch.close)
+        scratch.close()
+
+
 class Scratch:
     """Parquet tables written to the shared folder. drop() deletes what a job no longer needs; the rest goes at exit."""
 
@@ -36,6 +49,7 @@ class Scratch:
         self.kept: list[DataFrame] = []
         self.cuts: set[str] = set()
         small_batches(spark)
+        _open.append(self)
         atexit.register(self.close)
 
     def table(self, df: DataFrame) -> DataFrame:
