@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import decontamination, near_duplicates, packing, quality, secrets
-from palimpsest.llm.common import Scratch
+from palimpsest.llm.common import Scratch, tidy
 from palimpsest.llm.queries import tokenizer_path
 
 
@@ -50,7 +50,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for _, stage in STAGES:
-        after = scratch.table(stage(spark, docs, sf_dir))
+        with tidy():
+            after = scratch.table(stage(spark, docs, sf_dir))
         if before is not None:
             scratch.drop(before)
         docs = before = after
