@@ -60,11 +60,13 @@ SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{n}' THEN '{v}'"
 
 
 def _places(phrase: str, label: str) -> str:
-    n = len(phrase.split())
-    return f"SELECT id, '{label}' AS label, unnest([i - 1 FOR i IN range(1, len(w) - {n - 2}) IF array_to_string(w[i:i + {n - 1}], ' ') = '{phrase}']) AS p FROM d"
+    return f"SELECT id, '{label}' AS label, pos - 1 AS p FROM x WHERE " + " AND ".join(f"w{k} = '{w}'" for k, w in enumerate(phrase.split()))
 
 
+_longest = max(len(p.split()) for p, _ in PHRASES)
 LICENCES = f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM d),
+x AS (SELECT id, pos, {", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(_longest))} FROM t WINDOW o AS (PARTITION BY id ORDER BY pos)),
 f AS ({" UNION ALL ".join(_places(*x) for x in PHRASES)}),
 g AS (SELECT id, count(*) AS n, min(p) AS a, max(p) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM f GROUP BY id)
 SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels FROM d LEFT JOIN g USING (id)"""
