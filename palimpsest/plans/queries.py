@@ -434,7 +434,7 @@ def kv_table_versions(spark, d):
     return _rows(t.scan(version=1)).select(F.lit(1).alias("version"), "k", "v").union(_rows(t.scan()).select(F.lit(2), "k", "v"))
 
 
-@query("SELECT max(tier // 5) + 2 AS next_id, count(DISTINCT tier // 5) AS n_runs, CAST(count(*) AS bigint) AS n_rows, CAST(sum(CASE WHEN del THEN 1 ELSE 0 END) AS bigint) AS n_deletes FROM kv")
+@query("SELECT CAST(max(tier // 5) + 2 AS bigint) AS next_id, count(DISTINCT tier // 5) AS n_runs, CAST(count(*) AS bigint) AS n_rows, CAST(sum(CASE WHEN del THEN 1 ELSE 0 END) AS bigint) AS n_deletes FROM kv")
 def kv_table_manifest(spark, d):
     """What a second handle folds out of the commit log: the runs appended, by their entries in it."""
     t, log = KVTable(spark, workspace(spark, "table"), Options(auto_compact=False)), kv(spark, d)
