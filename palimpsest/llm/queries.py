@@ -77,4 +77,4 @@ QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_sharding, op4_s
 
 # DuckDB has no hash that Spark has besides md5 and sha256, no trained models and no tokenizers: the other
 # operators are tested against plain versions in tests/llm.
-ORACLE_SQL = {"op3_sharding": sql.SHARDS, "op5_near_duplicates": sql.NEAR, "op6_secrets": sql.SECRETS, "op7_urls": sql.URLS, "licences_base": sql.LICENCES, "secrets_rescan": sql.RESCAN}
+ORACLE_SQL = {"op3_sharding": sql.SHARDS, "op5_near_duplicates": sql.NEAR, "op6_secrets": sql.SECRETS, "op7_urls": sql.URLS, "op8_decontamination": sql.LEAKS, "licences_base": sql.LICENCES, "secrets_rescan": sql.RESCAN}

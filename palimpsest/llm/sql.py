@@ -71,6 +71,23 @@ f AS ({" UNION ALL ".join(_places(*x) for x in PHRASES)}),
 g AS (SELECT id, count(*) AS n, min(p) AS a, max(p) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM f GROUP BY id)
 SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels FROM d LEFT JOIN g USING (id)"""
 
+_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+# every alignment of a document and an item that share words, every window on it, and runs of windows that touch
+LEAKS = f"""WITH dl AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, {_AZ}), {_WORD}) AS w FROM documents WHERE text IS NOT NULL),
+bl AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, {_AZ}), {_WORD}) AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+d AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS p FROM dl),
+b AS (SELECT q, least(13, len(w)) AS size, (4 * least(13, len(w)) + 4) // 5 AS need, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS p FROM bl),
+g AS (SELECT r, q, d.p - b.p AS shift, size, need, list(d.p ORDER BY d.p) AS ps FROM d JOIN b ON d.w = b.w GROUP BY r, q, d.p - b.p, size, need HAVING count(*) >= need),
+h AS (SELECT * FROM g WHERE len([i FOR i IN range(1, len(ps) - need + 2) IF ps[i + need - 1] - ps[i] < size]) > 0),
+s AS (SELECT r, q, shift, size, need, ps, unnest(range(greatest(0, shift), least(len(dl.w), shift + len(bl.w)) - size + 1)) AS s FROM h JOIN dl USING (r) JOIN bl USING (q)),
+t AS (SELECT *, s - lag(s) OVER (PARTITION BY r, q, shift ORDER BY s) > size AS cut FROM s WHERE len([x FOR x IN ps IF x >= s AND x < s + size]) >= need),
+u AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY r, q, shift ORDER BY s) AS run FROM t),
+v AS (SELECT r, q, shift, run, any_value(ps) AS ps, min(s) AS lo, max(s) + any_value(size) AS hi FROM u GROUP BY r, q, shift, run),
+x AS (SELECT r, q, [y FOR y IN ps IF y >= lo AND y < hi] AS ps FROM v),
+y AS (SELECT doc_id, item_id, ps[1] AS start_word, ps[len(ps)] + 1 - ps[1] AS n_words, len(ps) AS n_equal FROM x JOIN dl USING (r) JOIN bl USING (q)),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start_word, n_words) AS k FROM y)
+SELECT doc_id, item_id, CAST(start_word AS bigint) AS start_word, CAST(n_words AS bigint) AS n_words, CAST(n_equal AS bigint) AS n_equal, n_equal / n_words AS similarity FROM z WHERE k = 1"""
+
 # crc32 by its definition: a table from the polynomial, then byte by byte
 SHARDS = """WITH tbl AS (SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
 b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, [CAST('0x' || x AS bigint) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS bytes, coalesce(CAST(doc_id AS varchar), 'null') AS k FROM documents),

@@ -22,6 +22,8 @@ def odd(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("odd"))
     rows = [(i if i != 4 else None, t, None, "s", len(t or "")) for i, t in enumerate(TEXTS)]
     spark.createDataFrame([*rows, rows[7], rows[9]], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    items = [(1, "one two three four five six one two three four other six one two"), (2, "x Y z"), (2, "w"), (3, None), (4, " ,"), (None, "q r s t u v w x y"), (5, "two words, W w w w"), (5, "two words, W w w w")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(i, u, "") for i, u in enumerate(URLS)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{d}/pages.parquet")
     return d
 
@@ -30,7 +32,7 @@ def odd(spark, tmp_path_factory):
 def test_query(spark, odd, name):
     for d in (D, odd):
         duck = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "benchmark"):
             duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet{'' if d == D else '/*.parquet'}'")
         got, want = QUERIES[name](spark, d), duck.sql(ORACLE_SQL[name])
         assert sorted(want.columns) == sorted(got.columns)
