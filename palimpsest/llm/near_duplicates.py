@@ -40,8 +40,9 @@ from .shingles import WordHashes, shingles
 
 BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
-#: Shingles (8 bytes each) of a block of classes that one task compares with another block.
-BLOCK = 400_000
+#: Shingles (8 bytes each) of a block of classes that one task compares with another block. A class counts as a
+#: share of 1 / 500 at least, so a block has some 500 classes at most.
+BLOCK = 200_000
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -193,8 +194,8 @@ def _blocks(rest: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     A label with more than BLOCK shingles in a bucket has blocks of its own, which are not paired with each other;
     the others share blocks. A block holds sizes of one range, and is paired with those of ranges next to it alone.
     """
-    step = -math.log(percent / 100) * 1.001  # sizes that may link are less than a whole step apart
-    share = rest.groupBy("key", "label").agg(F.sum("n").alias("own"))
+    step = -math.log(min(percent, 99) / 100) * 1.001  # sizes that may link are less than a whole step apart
+    share = rest.groupBy("key", "label").agg(F.sum(F.greatest("n", F.lit(BLOCK // 500))).alias("own"))
     rows = share.filter(F.col("own") <= BLOCK).groupBy("key").agg(F.sum("own").alias("shared"))
     parts = scratch.table(share.join(rows.hint("merge"), "key", "left").select("key", "label", (F.col("own") > BLOCK).alias("alone"), F.ceil(F.when(F.col("own") > BLOCK, F.col("own")).otherwise(F.col("shared")) / BLOCK).alias("parts")))
     seats = rest.withColumn("range", F.floor(F.log("n") / step).cast("int")).join(parts.hint("merge"), ["key", "label"])
