@@ -129,16 +129,17 @@ def spare(columns: Sequence[str], *names: str) -> list[str]:
 
 
 def bit_table(hashes: DataFrame, most: int = 1 << 28) -> np.ndarray:
-    """Bytes whose bit h mod their number of bits is set for each long of the one column of `hashes`.
+    """A Bloom filter as bytes: of each well-mixed long of the one column of `hashes`, two bits are set, by its low and its high half.
 
-    16 bits a hash, and at most `most` (32 MB) however many there are: beyond that more of what is asked for
+    32 bits a hash, and at most `most` (32 MB) however many there are: beyond that more of what is asked for
     is found by chance, so what passes must be joined exactly afterwards.
     """
     (name,) = hashes.columns
     n = hashes.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    bits = min(most, max(1 << 20, 1 << (16 * n).bit_length()))
-    at = F.pmod(F.col(name), F.lit(bits).cast("long")) + 1  # both functions count from 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).toArrow()
+    bits = min(most, max(1 << 24, 1 << (32 * n).bit_length()))
+    place = lambda h: F.pmod(h, F.lit(bits).cast("long")) + 1  # the functions below count from 1
+    at = hashes.select(F.explode(F.array(place(F.col(name)), place(F.shiftrightunsigned(name, 32)))).alias("at"))
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).toArrow()
     out = np.zeros(bits // 8, np.uint8)
     for b, m in zip(rows["b"].to_pylist(), rows["m"].to_pylist()):
         out[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
@@ -146,9 +147,14 @@ def bit_table(hashes: DataFrame, most: int = 1 << 28) -> np.ndarray:
 
 
 def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of the 64-bit hashes h have their bit in a bit_table."""
-    at = h.view(np.uint64) & np.uint64(len(table) * 8 - 1)
-    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    """Which of the 64-bit hashes h have their bits in a bit_table."""
+    mask = np.uint64(len(table) * 8 - 1)
+    bit = lambda at: (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    h = h.view(np.uint64)
+    out = bit(h & mask)
+    some = np.flatnonzero(out)
+    out[some] = bit((h[some] >> np.uint64(32)) & mask)
+    return out
 
 
 def readable(column: pa.Array) -> pa.Array:
