@@ -90,7 +90,7 @@ def neighbours(docs: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # ascending keys are descending ids, nulls last
     key = F.struct(F.col("doc_id").isNull().cast("int").alias("k0"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("k1"), F.xxhash64("text").alias("k2"))
-    keys = docs.select(key.alias("k"), F.octet_length("text").alias("b"))
+    keys = docs.select(key.alias("k"), (F.octet_length("text") + 64).alias("b"))  # a row takes more than its text
     total = keys.agg(F.sum("b").alias("b")).first()["b"] or 0
     n = max(1, min(RANGES, -(-total // bucket_bytes)))
     dealt = keys.select("k.*").repartitionByRange(n, "k0", "k1", "k2") if n > 1 else keys.select("k.*").coalesce(1)
